@@ -132,24 +132,23 @@ def active_reclaims(prints: DataFrame, reclaims: DataFrame, p: Profile) -> DataF
         ["ts_us", "seq", "level", "kind"],
         [Running("r_idx", "sum", F.lit(1).cast("bigint"))],
     )
-    events = numbered.groupBy(*KEY, "ts_us", "seq").agg(F.max("r_idx").alias("_r"))
-    rows = (
-        prints.join(events, [*KEY, "ts_us", "seq"], "left")
-        .withColumn("_at", F.when(F.col("_r").isNotNull(), F.col("ts_us")))
-        .withColumn("_chunk", floor_us(F.col("ts_us"), p.macro_us))
-    )
+    events = numbered.select(*KEY, "ts_us", "seq", "r_idx", F.lit(0).alias("_prio"))
+    rows = prints.withColumn("_prio", F.lit(1)).unionByName(events, allowMissingColumns=True)
     known = running(
-        rows,
+        rows.withColumn("_chunk", floor_us(F.col("ts_us"), p.macro_us)),
         KEY,
         "_chunk",
-        ["ts_us", "seq"],
-        [Running("_n", "max", F.col("_r")), Running("_seen", "max", F.col("_at"))],
-    )
+        ["ts_us", "seq", "_prio"],
+        [
+            Running("_n", "max", F.col("r_idx")),
+            Running("_seen", "max", F.when(F.col("_prio") == 0, F.col("ts_us"))),
+        ],
+    ).filter("_prio = 1")
     age = p.us(p.reclaim_age_s)
     fresh = known.filter(F.col("ts_us") - F.col("_seen") <= age)
     lo = F.greatest(F.col("_n") - (p.reclaim_keep - 1), F.lit(1))
     wanted = fresh.withColumn("r_idx", F.explode(F.sequence(lo, F.col("_n"))))
-    wanted = wanted.drop("_r", "_at", "_chunk", "_n", "_seen")
+    wanted = wanted.drop("_prio", "_chunk", "_n", "_seen")
     picked = numbered.select(
         *KEY,
         "r_idx",
