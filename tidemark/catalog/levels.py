@@ -434,9 +434,9 @@ FROM (SELECT *,
       least(greatest(imb15 * direction - @imb15_blowoff_max@, 0.0) / 0.25::DOUBLE, 1.0)) END
     AS penalty,
   greatest(@score_floor@, @score_min@ * CASE WHEN comp_active THEN 0.9::DOUBLE ELSE 1.0 END) AS need,
-  round(level_price * (1.0 - direction * greatest(@invalidation_min_bps@,
+  CAST(round(CAST(CAST(level_price * (1.0 - direction * greatest(@invalidation_min_bps@,
     least(@invalidation_max_bps@, @invalidation_range_frac@ * CASE WHEN minute_frac * 40.0 < @open_phase_min@
-      THEN greatest(range5m_bps, @open_range_floor_bps@) ELSE range5m_bps END)) / 1e4), 4)
+      THEN greatest(range5m_bps, @open_range_floor_bps@) ELSE range5m_bps END)) / 1e4) AS VARCHAR) AS DECIMAL(30, 18)), 4) AS DOUBLE)
     AS invalidation
 FROM (SELECT *, least(vol_ratio_prev / (2.0 * @vol_accel_min@), 1.0) AS v_vol,
     CASE WHEN vol_ratio_base > 0 THEN least(vol_ratio_base / (2.0 * greatest(0.5::DOUBLE,

@@ -25,35 +25,42 @@ def _in_session() -> Column:
     return F.col("ts_us") >= F.col("open_us")
 
 
-def micro_bars(prints: DataFrame, p: Profile) -> DataFrame:
-    """One row per (symbol, session, unit) that has prints.
-
-    A bucket opens at its first print when that print is price-forming, else at the
-    last price-forming price so far; high and low include the open."""
+def bar_aggregates() -> list[Column]:
+    """Aggregates of one bucket's prints; usable in batch and in streaming grouping."""
     order = F.struct("ts_us", "seq")
     forming = F.when(F.col("updates_last"), F.col("price"))
     flow = F.col("flow_eligible")
-    size = F.col("size")
+    size, worth = F.col("size"), F.col("price") * F.col("size")
     seen = flow & _in_session()
-    rows = prints.withColumn("b_us", floor_us(F.col("ts_us"), p.unit_us))
-    agg = rows.groupBy(*KEY, "b_us").agg(
+
+    def count(cond: Column, value: Column, zero) -> Column:
+        return F.coalesce(F.sum(F.when(cond, value)), F.lit(zero))
+
+    return [
         F.min_by(F.struct("price", "updates_last"), order).alias("_first"),
         F.max(forming).alias("_hi"),
         F.min(forming).alias("_lo"),
         F.max_by("price", F.when(F.col("updates_last"), order)).alias("_last"),
         F.max(F.when(F.col("updates_last"), F.col("ts_us"))).alias("last_forming_us"),
-        F.coalesce(F.sum(F.when(F.col("updates_volume"), size)), F.lit(0)).alias("vol"),
-        F.coalesce(F.sum(F.when(flow & (F.col("side") > 0), size)), F.lit(0)).alias("buy_vol"),
-        F.coalesce(F.sum(F.when(flow & (F.col("side") < 0), size)), F.lit(0)).alias("sell_vol"),
+        count(F.col("updates_volume"), size, 0).alias("vol"),
+        count(flow & (F.col("side") > 0), size, 0).alias("buy_vol"),
+        count(flow & (F.col("side") < 0), size, 0).alias("sell_vol"),
         F.count_if(flow).alias("n"),
-        F.coalesce(F.sum(F.when(flow, F.col("price") * size)), F.lit(0.0)).alias("dollar"),
-        F.coalesce(F.sum(F.when(seen, F.col("price") * size)), F.lit(0.0)).alias("s_pv"),
-        F.coalesce(F.sum(F.when(seen, size)), F.lit(0)).alias("s_v"),
+        count(flow, worth, 0.0).alias("dollar"),
+        count(seen, worth, 0.0).alias("s_pv"),
+        count(seen, size, 0).alias("s_v"),
         F.max(F.when(_in_session(), forming)).alias("s_hi"),
         F.min(F.when(_in_session(), forming)).alias("s_lo"),
         F.first("open_us").alias("open_us"),
         F.first("close_us").alias("close_us"),
-    )
+    ]
+
+
+def finish_bars(agg: DataFrame) -> DataFrame:
+    """Open, high, low and close from the aggregates of all buckets of a session.
+
+    A bucket opens at its first print when that print is price-forming, else at the
+    last price-forming price so far; high and low include the open."""
     before = W.partitionBy(*KEY).orderBy("b_us").rowsBetween(W.unboundedPreceding, -1)
     prev = F.last("_last", ignorenulls=True).over(before)
     opened = F.when(F.col("_first.updates_last"), F.col("_first.price")).otherwise(
@@ -79,6 +86,12 @@ def micro_bars(prints: DataFrame, p: Profile) -> DataFrame:
     )
 
 
+def micro_bars(prints: DataFrame, p: Profile) -> DataFrame:
+    """One row per (symbol, session, unit) that has prints."""
+    rows = prints.withColumn("b_us", floor_us(F.col("ts_us"), p.unit_us))
+    return finish_bars(rows.groupBy(*KEY, "b_us").agg(*bar_aggregates()))
+
+
 def _flat(price: Column, b_us: Column, source: DataFrame) -> list[Column]:
     """Columns of a flat zero-volume bar, in the schema of ``source``."""
     zero = {"vol", "buy_vol", "sell_vol", "n", "s_v"}

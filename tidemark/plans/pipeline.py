@@ -36,7 +36,7 @@ class Tape:
     fear: str = ""
     cut: bool = True
 
-    def _stage(self, df: DataFrame, name: str) -> DataFrame:
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
         return durable(df, name) if self.cut else df
 
     # ------------------------------------------------------------- bars and state
@@ -45,7 +45,7 @@ class Tape:
     def sided(self) -> DataFrame:
         """Clean prints with quote, previous flow price and side."""
         out = sides.classify_sides(clean(self.prints), self.quotes, self.profile)
-        return self._stage(out, "sided")
+        return self.stage(out, "sided")
 
     @cached_property
     def micro(self) -> DataFrame:
@@ -54,7 +54,7 @@ class Tape:
     @cached_property
     def filled(self) -> DataFrame:
         out = B.gap_fill(self.micro, self.profile)
-        return self._stage(out, "filled")
+        return self.stage(out, "filled")
 
     @cached_property
     def macro(self) -> DataFrame:
@@ -83,7 +83,7 @@ class Tape:
     @cached_property
     def structure(self) -> DataFrame:
         out = levels.macro_structure(self.macro, self.profile)
-        return self._stage(out, "structure")
+        return self.stage(out, "structure")
 
     @cached_property
     def bar_state(self) -> DataFrame:
@@ -96,7 +96,7 @@ class Tape:
         out = ctx.with_context(rows, self.filled, self.market, self.fear, p)
 
     # ------------------------------------------------------------- prints
-        return self._stage(out, "bar_state")
+        return self.stage(out, "bar_state")
 
     @cached_property
     def flow(self) -> DataFrame:
@@ -105,7 +105,7 @@ class Tape:
         rows = snapshot.with_persistence(self.sided, p)
         state = self.bar_state.drop("dynamic")
         out = snapshot.with_flow_features(B.print_windows(rows, state, p), p)
-        return self._stage(out, "flow")
+        return self.stage(out, "flow")
 
     @cached_property
     def vwap0(self) -> DataFrame:
@@ -128,7 +128,7 @@ class Tape:
             rows.drop("vwap0"), self.static.drop("pmh", "pml"), self.opening, self.vwap0, p
         )
         out = rows.select(*cols, "epoch", "levels")
-        return self._stage(out, "bucket_levels")
+        return self.stage(out, "bucket_levels")
 
     @cached_property
     def epoch_levels(self) -> DataFrame:
@@ -142,8 +142,8 @@ class Tape:
         forming = self.sided.filter("updates_last").select(*KEY, "ts_us", "seq", "price")
         forming = forming.withColumn("b_us", floor_us(F.col("ts_us"), p.unit_us))
         obs = sweeps.level_observations(forming, self.bucket_levels, self.epoch_levels, p)
-        obs = self._stage(obs, "level_observations")
-        return self._stage(sweeps.sweep_reclaims(obs, p), "reclaims")
+        obs = self.stage(obs, "level_observations")
+        return self.stage(sweeps.sweep_reclaims(obs, p), "reclaims")
 
     @cached_property
     def leveled(self) -> DataFrame:
@@ -161,7 +161,7 @@ class Tape:
     @cached_property
     def evaluated(self) -> DataFrame:
         out = gates.evaluate(self.snapshots, self.profile)
-        return self._stage(out, "evaluated")
+        return self.stage(out, "evaluated")
 
     @cached_property
     def passing(self) -> DataFrame:
