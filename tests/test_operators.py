@@ -60,9 +60,8 @@ def test_wide_gap_gets_one_filler(spark):
 
 
 def test_minute_fold(spark):
-    # T0 is 20 s before a minute boundary in this offset: start on the boundary
-    start = 40
-    tape = prints(spark, [(start + i, 10 + 0.01 * i, 50) for i in range(130)])
+    # T0 lies on a minute boundary
+    tape = prints(spark, [(i, 10 + 0.01 * i, 50) for i in range(130)])
     got = by(B.macro_bars(B.micro_bars(tape, P), P), "m_us")
     assert (got[0].vol, got[0].open, round(got[0].close, 2)) == (3000, 10.0, 10.59)
     assert round(got[1].open, 2) == 10.60
@@ -116,7 +115,7 @@ def test_rolling_windows_match_recomputation(spark):
 
 
 def test_ema_matches_fold(spark):
-    closes = [100 + (i * 37 % 11) for i in range(60)]
+    closes = [100.0 + (i * 37 % 11) for i in range(60)]
     got = by(B.with_ema_slope(macro(spark, [(c + 1, c - 1, c) for c in closes])), "m_us")
     ema, seen = None, []
     for c, g in zip(closes, got, strict=True):
@@ -195,10 +194,10 @@ def test_sweeps_match_sequential_fold(spark):
     import random
 
     rng = random.Random(3)
-    rows, at, px = [], 0.0, 100.0
+    rows, at = [], 0.0
     for _ in range(400):
         at += rng.choice([0.2, 0.6, 2.0, 30.0])
-        px = max(99.5, min(100.5, px + rng.choice([-0.08, -0.03, 0.0, 0.03, 0.08])))
+        px = 100 + rng.choice([-0.3, -0.15, -0.05, 0.0, 0.05, 0.15, 0.3])
         rows.append((round(at, 1), round(px, 2)))
     want, state = [], None
     for t, px in rows:

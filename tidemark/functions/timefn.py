@@ -24,7 +24,7 @@ def format_rfc3339(ts_us: Column) -> Column:
     """Epoch microseconds to ``YYYY-MM-DDTHH:MM:SS.ffffffZ`` in UTC."""
     base = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(ts_us / 86_400_000_000).cast("int"))
     sec = F.pmod(F.floor(ts_us / 1_000_000), F.lit(86_400))
-    return F.format_string(
+    text = F.format_string(
         "%sT%02d:%02d:%02d.%06dZ",
         base.cast("string"),
         F.floor(sec / 3600),
@@ -32,6 +32,7 @@ def format_rfc3339(ts_us: Column) -> Column:
         sec % 60,
         F.pmod(ts_us, F.lit(1_000_000)),
     )
+    return F.when(ts_us.isNotNull(), text)
 
 
 def wall_to_utc_us(date_text: Column, clock_text: Column, zone: str) -> Column:

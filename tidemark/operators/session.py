@@ -102,12 +102,11 @@ def daily_bars(bars: DataFrame) -> DataFrame:
 def prior_day_levels(daily: DataFrame, p: Profile) -> DataFrame:
     """High, low and close of the last day bar stamped before open - cutoff.
 
-    The day's own partial bar is stamped inside the cutoff only if the session opens
-    late; the rank therefore walks back by at most two bars."""
+    The session's own (partial) bar never counts, whatever its stamp."""
     w = W.partitionBy("symbol").orderBy("session")
     cut = F.col("open_us") - p.prior_cutoff_us
     bar = F.struct("high", "low", "close", "day_us")
-    pick = F.when(F.col("day_us") < cut, bar)
+    pick = F.lit(None)
     for k in (1, 2):
         lagged = F.lag(bar, k).over(w)
         pick = F.coalesce(pick, F.when(lagged["day_us"] < cut, lagged))
