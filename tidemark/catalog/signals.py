@@ -145,7 +145,7 @@ def retention(spark, sf_dir):
     o = V.table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("signal_id"), F.col("o_orderdate").cast("date").alias("date")
     )
-    return store.retained(o, "date", o.select("date"), 400).select("signal_id")
+    return store.retained(o, "date", 400).select("signal_id")
 
 
 @query("recent_signals", "osig", """
@@ -320,7 +320,13 @@ def rolling_precision(spark, sf_dir):
 
 @query("gate_timeline")
 def gate_timeline(spark, sf_dir):
-    return arbiter.gate_timeline(outcomes(spark, sf_dir), P)
+    """One run per setup and quarter of the order facts."""
+    s = facts.order_signals(spark, sf_dir)
+    quarter = F.date_format(F.timestamp_micros("day_us"), "yyyyQ")
+    runs = s.select(
+        F.col("signal_id").alias("seq"), F.concat_ws("-", "verb", quarter).alias("run_id")
+    )
+    return arbiter.gate_timeline(outcomes(spark, sf_dir).drop("run_id").join(runs, "seq"), P)
 
 
 @query("online_zscore", "gated", """
@@ -403,7 +409,7 @@ def perf_rows(spark, sf_dir):
 
 def _med(c: str, d: int) -> str:
     return (
-        f"CAST(round(CAST(CAST(median({c}) FILTER (NOT suppressed AND label IS NOT NULL) AS VARCHAR)"
+        f"CAST(round(CAST(CAST(median({c}) FILTER (live AND newest <= 256) AS VARCHAR)"
         f" AS DECIMAL(30, 15)), {d}) AS DOUBLE)"
     )
 
@@ -427,7 +433,10 @@ _SLICES = {"total": "'all'", "symbol": "symbol::VARCHAR", "direction": "directio
 
 
 @query("perf_slices", "perf", " UNION ALL ".join(
-    f"SELECT '{k}' AS slice, {v} AS member, {_PERF} FROM perf GROUP BY ALL"
+    f"SELECT slice, member, {_PERF} FROM (SELECT *, '{k}' AS slice, {v} AS member, "
+    "NOT suppressed AND label IS NOT NULL AS live, row_number() OVER ("
+    f"PARTITION BY {v}, NOT suppressed AND label IS NOT NULL "
+    "ORDER BY alert_us DESC, signal_id DESC) AS newest FROM perf) GROUP BY slice, member"
     for k, v in _SLICES.items()))
 def perf_slices(spark, sf_dir):
     return metrics.perf_slices(perf_rows(spark, sf_dir))
@@ -507,19 +516,32 @@ SELECT count(*) AS candidates, count(*) FILTER (gate_reason IS NULL) AS passed,
   (SELECT count(*) FROM outcome WHERE risk > 0 AND label) AS positive,
   (SELECT count(*) FROM filled) AS bars FROM gated""")
 def run_report(spark, sf_dir):
+    """One row per run: each fact table contributes its own partial counts."""
     t = tape(spark, sf_dir)
     c = F.col
-    one = t.evaluated.agg(
-        F.count("*").alias("candidates"),
-        F.count_if(c("gate_reason").isNull()).alias("passed"),
-        F.count_if(c("gate_reason") != "untriggered").alias("rejected"),
-    )
-    conf = t.resolutions.agg(F.count_if(c("resolution") == "CONFIRMED").alias("confirmed"))
-    pos = t.labels.agg(F.count_if("label").alias("positive"))
-    bars = t.filled.agg(F.count("*").alias("bars"))
-    for extra in (conf, pos, bars):  # one row each
-        one = one.join(F.broadcast(extra))
-    return one
+    names = ("candidates", "passed", "rejected", "confirmed", "positive", "bars")
+
+    def part(df, **conds):
+        cols = [
+            F.count_if(conds[n]) if n in conds else F.lit(0).cast("bigint") for n in names
+        ]
+        return df.agg(*[x.alias(n) for x, n in zip(cols, names, strict=True)])
+
+    parts = [
+        part(
+            t.evaluated,
+            candidates=F.lit(True),
+            passed=c("gate_reason").isNull(),
+            rejected=c("gate_reason") != "untriggered",
+        ),
+        part(t.resolutions, confirmed=c("resolution") == "CONFIRMED"),
+        part(t.labels, positive=c("label")),
+        part(t.filled, bars=F.lit(True)),
+    ]
+    rows = parts[0]
+    for extra in parts[1:]:
+        rows = rows.unionByName(extra)
+    return rows.agg(*[F.sum(n).alias(n) for n in names])
 
 
 @query("status_row", "osig", """
@@ -590,7 +612,7 @@ def detection_eval(spark, sf_dir):
         F.when(c("close") > c("open"), 1).otherwise(-1).alias("direction"),
         c("m_us").alias("event_us"), (c("m_us") + 2 * P.macro_us).alias("move_end_us"),
     )
-    out = metrics.detection_eval(truth, t.passing, P.us(5))
+    out = metrics.detection_eval(truth, t.passing, P.us(5), P.macro_us)
     return out.select("symbol", "session", "kind", "direction", "event_us", "delay_us", "verdict")
 
 

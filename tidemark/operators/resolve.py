@@ -121,26 +121,76 @@ def env_clause(mkt: Column, fear: Column, event_vol: Column) -> Column:
     )
 
 
-def resolve(cands: DataFrame, obs: DataFrame, p: Profile) -> DataFrame:
+def watched_buckets(cands: DataFrame, bars: DataFrame, p: Profile) -> DataFrame:
+    """(candidate, bucket) pairs in which a verdict is possible, with the extreme so far.
+
+    A candidate meets the few dozen bars of its horizon, not their prints.  A bucket is
+    kept only if its price range allows a verdict rule to fire in it, or if it holds the
+    alert itself; everything after a bar that surely invalidates is dropped."""
+    c = F.col
+    u = p.unit_us
+    lo, hi = floor_us(c("ts_us"), u), floor_us(c("ts_us") + p.us(p.observe_max_s) + u, u)
+    m = p.macro_us
+    chunks = F.explode(F.sequence(floor_us(lo, m), floor_us(hi, m), F.lit(m)))
+    left = cands.withColumns({"_lo": lo, "_hi": hi}).withColumn("_chunk", chunks)
+    right = bars.select(*KEY, "b_us", "high", "low", floor_us(c("b_us"), m).alias("_chunk"))
+    rows = left.join(right, [*KEY, "_chunk"]).filter(c("b_us").between(c("_lo"), c("_hi")))
+
+    up = c("direction") > 0
+    own = c("b_us") == c("_lo")
+    worst, best = F.when(up, c("low")).otherwise(c("high")), F.when(up, c("high")).otherwise(c("low"))
+    d = c("direction")
+    invalid = (worst - c("invalidation")) * d < 0
+    recross = (worst - c("level_price")) * d < -p.fail_buffer_bps / 1e4 * c("level_price")
+    waited = c("b_us") + u - c("ts_us")
+    confirm = (waited >= p.us(p.confirm_min_s)) & ((best - c("level_price")) * d > 0)
+    last = waited >= p.us(p.observe_max_s)
+    w = W.partitionBy(*CAND).orderBy("b_us").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumns(
+        {
+            # the alert's own bar reaches back before the alert: its prints decide instead
+            "_so_far": F.max(F.when(~own, best * d)).over(w),
+            "_over": F.max(F.when(~own, invalid)).over(w),
+            "_maybe": own | invalid | recross | confirm | last,
+        }
+    )
+    keep = rows.filter(c("_maybe") & ~F.coalesce(c("_over"), F.lit(False)))
+    return keep.drop("_chunk", "_lo", "_hi", "high", "low", "_over", "_maybe")
+
+
+def resolve(cands: DataFrame, obs: DataFrame, bars: DataFrame, p: Profile) -> DataFrame:
     """First verdict of each candidate; candidates the tape ends on have none.
 
-    Output: candidate key + resolution, reason, resolution_us, resolution_price,
+    Bars narrow down where a verdict can fall; only those buckets are looked at print by
+    print.  Output: candidate key + resolution, reason, resolution_us, resolution_price,
     micro_extreme, env."""
     c = F.col
+    u = p.unit_us
+    d = c("direction")
     narrow = cands.select(
         *CAND, "direction", "price", "level_price", "invalidation", opening_phase(p).alias("in_open")
     )
-    horizon = p.us(p.observe_max_s) + 2 * p.unit_us
-    pairs = future_tape(narrow, obs, horizon, p)
+    pairs = watched_buckets(narrow, bars, p)
+    # the tick at a bar's end belongs to that bar
+    at = c("o_ts") - F.when(c("o_prio") == 0, u).otherwise(0)
+    seen = pairs.join(obs.withColumn("b_us", floor_us(at, u)), [*KEY, "b_us"])
+    after = (c("o_ts") > c("ts_us")) | (
+        (c("o_ts") == c("ts_us")) & (c("o_prio") == 1) & (c("o_seq") > c("seq"))
+    )
+    horizon = p.us(p.observe_max_s) + 2 * u
+    seen = seen.filter(after & (c("o_ts") <= c("ts_us") + horizon))
     w = (
-        W.partitionBy(*CAND)
-        .orderBy("o_ts", "o_prio", "o_seq")
+        W.partitionBy(*CAND, "b_us")
+        .orderBy("o_ts", F.desc("o_prio"), "o_seq")
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
-    best = F.when(
-        c("direction") > 0, F.greatest(c("price"), F.max("o_price").over(w))
-    ).otherwise(F.least(c("price"), F.min("o_price").over(w)))
-    judged = pairs.withColumn("extreme", best).withColumn("_v", _verdict(p))
+    reach = F.greatest(c("price") * d, c("_so_far"), c("_own_best"), F.max(c("o_price") * d).over(w))
+    own = c("b_us") == floor_us(c("ts_us"), u)
+    own_best = F.max(F.when(own, c("o_price") * d)).over(
+        W.partitionBy(*CAND).orderBy("b_us").rangeBetween(W.unboundedPreceding, -1)
+    )
+    seen = seen.withColumn("_own_best", own_best)
+    judged = seen.withColumn("extreme", reach * d).withColumn("_v", _verdict(p))
     first = F.struct("o_ts", "o_prio", "o_seq")
     fields = F.struct(
         "_v.resolution",
@@ -148,7 +198,7 @@ def resolve(cands: DataFrame, obs: DataFrame, p: Profile) -> DataFrame:
         c("o_ts").alias("resolution_us"),
         c("o_price").alias("resolution_price"),
         c("extreme").alias("micro_extreme"),
-        env_clause(c("o_mkt") * c("direction"), c("o_fear"), c("o_vol")).alias("env"),
+        env_clause(c("o_mkt") * d, c("o_fear"), c("o_vol")).alias("env"),
     )
     decided = judged.filter(c("_v").isNotNull())
     return decided.groupBy(*CAND).agg(F.min_by(fields, first).alias("_r")).select(*CAND, "_r.*")

@@ -49,7 +49,7 @@ def finished(t: Tape, run_id: str = "run") -> DataFrame:
     """Contenders with verdict, label and time-of-day bucket: the fold's input."""
     p = t.profile
     rows = t.stage(contenders(t), "contenders")
-    verdicts = resolve.resolve(rows, t.observations, p)
+    verdicts = resolve.resolve(rows, t.observations, t.filled, p)
     labels = resolve.label_outcomes(rows, t.filled, p)
     out = rows.join(verdicts, ID, "left").join(labels, ID, "left")
     none = F.lit(None).cast("double")

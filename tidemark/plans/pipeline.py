@@ -177,7 +177,7 @@ class Tape:
 
     @cached_property
     def resolutions(self) -> DataFrame:
-        return resolve.resolve(self.passing, self.observations, self.profile)
+        return resolve.resolve(self.passing, self.observations, self.filled, self.profile)
 
     @cached_property
     def labels(self) -> DataFrame:

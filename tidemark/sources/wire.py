@@ -9,6 +9,7 @@ from ..functions.timefn import parse_rfc3339_us
 
 # Keys that differ only in case (T/t, S/s) rule out a struct schema: read maps.
 DOCUMENT = "array<map<string,string>>"
+UNREADABLE = "unreadable"
 # Error codes that must stop the feed, and the one worth a retry.
 FATAL_CODES = (402, 409)
 RETRY_CODES = (406,)
@@ -19,9 +20,10 @@ def messages(raw: DataFrame, column: str = "raw") -> DataFrame:
 
     Works unchanged on a streaming ``raw``."""
     parsed = F.from_json(F.col(column), DOCUMENT, {"mode": "PERMISSIVE"})
-    rows = raw.withColumn("_all", parsed)
-    rows = rows.withColumn("bad", F.col("_all").isNull())
-    return rows.withColumn("m", F.explode_outer("_all")).drop("_all")
+    # a stand-in record marks what could not be read, so each document is parsed once
+    damaged = F.array(F.create_map(F.lit("T"), F.lit(UNREADABLE)))
+    rows = raw.withColumn("m", F.explode(F.coalesce(parsed, damaged)))
+    return rows.withColumn("bad", F.col("m")["T"] == UNREADABLE)
 
 
 def trades(msgs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
