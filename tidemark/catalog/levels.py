@@ -418,6 +418,12 @@ def features(spark, sf_dir):
 
 # ------------------------------------------------------------------ score and gates
 
+INVALIDATION = """CAST(round(CAST(CAST(level_price * (1.0 - direction
+    * greatest(@invalidation_min_bps@, least(@invalidation_max_bps@, @invalidation_range_frac@
+      * CASE WHEN minute_frac * 40.0 < @open_phase_min@
+        THEN greatest(range5m_bps, @open_range_floor_bps@) ELSE range5m_bps END)) / 1e4)
+    AS VARCHAR) AS DECIMAL(30, 18)), 4) AS DOUBLE)"""
+
 cte("scored", "snaps", """
 SELECT *, CASE WHEN score - penalty < need THEN CASE WHEN score >= need THEN 'fake_start'
     ELSE 'score' END END AS score_reason
@@ -434,10 +440,7 @@ FROM (SELECT *,
       least(greatest(imb15 * direction - @imb15_blowoff_max@, 0.0) / 0.25::DOUBLE, 1.0)) END
     AS penalty,
   greatest(@score_floor@, @score_min@ * CASE WHEN comp_active THEN 0.9::DOUBLE ELSE 1.0 END) AS need,
-  CAST(round(CAST(CAST(level_price * (1.0 - direction * greatest(@invalidation_min_bps@,
-    least(@invalidation_max_bps@, @invalidation_range_frac@ * CASE WHEN minute_frac * 40.0 < @open_phase_min@
-      THEN greatest(range5m_bps, @open_range_floor_bps@) ELSE range5m_bps END)) / 1e4) AS VARCHAR) AS DECIMAL(30, 18)), 4) AS DOUBLE)
-    AS invalidation
+  """ + INVALIDATION + """ AS invalidation
 FROM (SELECT *, least(vol_ratio_prev / (2.0 * @vol_accel_min@), 1.0) AS v_vol,
     CASE WHEN vol_ratio_base > 0 THEN least(vol_ratio_base / (2.0 * greatest(0.5::DOUBLE,
       @vol_accel_min@ * 0.75::DOUBLE)), 1.0) ELSE least(vol_ratio_prev / (2.0 * @vol_accel_min@), 1.0) END
@@ -491,10 +494,12 @@ def rejection_counts(spark, sf_dir):
 
 cte("ticks1", "barwin looked mstate context", """
 SELECT w.*, l.base_vol, coalesce(m.epoch, 0) AS epoch, m.ext_hi, m.ext_lo, m.ema_change,
+  coalesce(m.range5m_bps, 15.0) AS range5m_bps,
   x.mkt_5m, x.fear_5m, w.b_us + $U AS tick_us
 FROM barwin w JOIN looked l USING (symbol, session, b_us) JOIN context x
   ON x.session = w.session AND x.b_us = w.b_us
-ASOF LEFT JOIN (SELECT symbol, session, eff_us, epoch, ext_hi, ext_lo, ema_change FROM mstate) m
+ASOF LEFT JOIN (SELECT symbol, session, eff_us, epoch, ext_hi, ext_lo, ema_change, range5m_bps
+  FROM mstate) m
   ON w.symbol = m.symbol AND w.session = m.session AND w.b_us >= m.eff_us""")
 cte("trends", "ticks1 premarket", """
 SELECT * FROM (SELECT *, CASE WHEN move_bps > 0 THEN 1 ELSE -1 END AS direction,
@@ -529,6 +534,15 @@ def trend_onset(spark, sf_dir):
 
 # ------------------------------------------------------------------ verdicts and labels
 
+cte("contend", "passed trends", f"""
+SELECT symbol, session, ts_us, seq, pref, direction, price, level_price, level_kind,
+  trigger_verb, invalidation, minute_frac, score, false AS is_trend, open_us, close_us FROM passed
+UNION ALL
+SELECT symbol, session, tick_us, 0, 1000000000, direction, close, level_price,
+  CASE WHEN direction > 0 THEN 8 ELSE 9 END, 'trend', {INVALIDATION}, minute_frac, 0.0, true,
+  open_us, close_us
+FROM (SELECT *, least(1.0, ((tick_us - open_us) // $M) / 40.0::DOUBLE) AS minute_frac FROM trends)
+""")
 cte("obs", "features0 context mstate ticks1", """
 SELECT f.symbol, f.session, f.ts_us AS o_ts, 1 AS o_prio, f.seq AS o_seq, f.price AS o_price,
   f.imb5, f.buy_share5 AS share5, f.v5 AS vol5, m.ema_change / f.price * 1e4 AS slope,
@@ -545,14 +559,13 @@ SELECT symbol, session, tick_us, 0, 0, close,
   p_vol5 + vol, ema_change / close * 1e4, mkt_5m, fear_5m,
   CASE WHEN base_vol > 0 THEN (p_vol60 + vol) / base_vol ELSE 0.0 END
 FROM (SELECT *, p_buy_vol5 + buy_vol AS buy, p_sell_vol5 + sell_vol AS sell FROM ticks1)""")
-cte("future", "gated obs", """
+FUTURE = """
 SELECT c.seq, c.pref, c.symbol, c.session, c.ts_us, c.direction, c.price, c.level_price,
   c.invalidation, c.minute_frac * 40.0 < @open_phase_min@ AS in_open, o.* EXCLUDE (symbol, session)
-FROM gated c JOIN obs o ON c.symbol = o.symbol AND c.session = o.session
+FROM $SRC c JOIN obs o ON c.symbol = o.symbol AND c.session = o.session
   AND (o.o_ts > c.ts_us OR (o.o_ts = c.ts_us AND o.o_prio = 1 AND o.o_seq > c.seq))
-  AND o.o_ts <= c.ts_us + 11 * $U
-WHERE c.gate_reason IS NULL""")
-cte("judged", "future", """
+  AND o.o_ts <= c.ts_us + 11 * $U"""
+JUDGED = """
 SELECT *, CASE
   WHEN (o_price - invalidation) * direction < 0 THEN 'FAILED:hit invalidation'
   WHEN NOT in_open AND (o_price - level_price) * direction < -@fail_buffer_bps@ / 1e4 * level_price
@@ -577,16 +590,29 @@ FROM (SELECT *, beyond AND progress >= @confirm_min_r@ AS full_r FROM (
       (o_price - level_price) * direction > 0 AS beyond, o_ts - ts_us AS waited,
       coalesce(slope * direction >= 0, true) AS slope_ok,
       direction * greatest(price * direction, max(o_price * direction) OVER (
-        PARTITION BY seq, pref ORDER BY o_ts, o_prio, o_seq
-        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS extreme FROM future)))""")
-cte("resolved", "judged", """
+        PARTITION BY symbol, session, ts_us, seq, pref ORDER BY o_ts, o_prio, o_seq
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS extreme FROM $FUTURE)))"""
+RESOLVED = """
 SELECT *, split_part(v, ':', 1) AS resolution, split_part(v, ':', 2) AS reason,
   concat_ws(', ', CASE WHEN o_mkt * direction > 0.02 THEN 'market with'
       WHEN o_mkt * direction < -0.03 THEN 'market against' END,
     CASE WHEN o_fear > 0.03 THEN 'fear rising' WHEN o_fear < -0.03 THEN 'fear easing' END,
     CASE WHEN o_vol >= 5 THEN 'event tape' END) AS env
-FROM judged WHERE v IS NOT NULL
-QUALIFY row_number() OVER (PARTITION BY seq, pref ORDER BY o_ts, o_prio, o_seq) = 1""")
+FROM $JUDGED WHERE v IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY symbol, session, ts_us, seq, pref
+  ORDER BY o_ts, o_prio, o_seq) = 1"""
+
+
+def verdict_blocks(src: str, tag: str) -> None:
+    """Blocks future<tag>, judged<tag> and resolved<tag> over the candidates in ``src``."""
+    future, judged = f"future{tag}", f"judged{tag}"
+    cte(future, f"{src} obs", FUTURE.replace("$SRC", src))
+    cte(judged, future, JUDGED.replace("$FUTURE", future))
+    cte(f"resolved{tag}", judged, RESOLVED.replace("$JUDGED", judged))
+
+
+cte("passed", "gated", "SELECT * FROM gated WHERE gate_reason IS NULL")
+verdict_blocks("passed", "")
 
 
 @query("future_tape", "future", """
@@ -615,7 +641,7 @@ def env_clause(spark, sf_dir):
     return tape(spark, sf_dir).resolutions.select("seq", "pref", "env")
 
 
-cte("outcome", "gated filled", """
+OUTCOME = """
 SELECT *, mfe_raw AS mfe, mae_raw AS mae, expanded AND started AND ample AS label,
   expanded AND started AND NOT ample AS was_late,
   CASE WHEN expanded AND started AND ample THEN 'expanded' WHEN NOT started THEN 'no_expansion'
@@ -628,16 +654,19 @@ FROM (SELECT *, pre >= @pos_multiple@ * risk AS expanded, lead_b IS NOT NULL AS
           greatest(max(fav), 0.0) AS mfe_raw, greatest(max(adv), 0.0) AS mae_raw,
           greatest(max(fav) FILTER (dead IS NULL OR b_us <= dead), 0.0) AS pre,
           min(b_us) FILTER (fav >= risk) AS lead_b
-        FROM (SELECT *, min(CASE WHEN hit THEN b_us END) OVER (PARTITION BY seq, pref) AS dead
+        FROM (SELECT *, min(CASE WHEN hit THEN b_us END) OVER (
+            PARTITION BY symbol, session, ts_us, seq, pref) AS dead
           FROM (SELECT c.*, b.b_us, abs(level_price - invalidation) AS risk,
               (CASE WHEN direction > 0 THEN b.high ELSE b.low END - price) * direction AS fav,
               (price - CASE WHEN direction > 0 THEN b.low ELSE b.high END) * direction AS adv,
               (CASE WHEN direction > 0 THEN b.low ELSE b.high END - invalidation) * direction < 0
                 AS hit
-            FROM gated c JOIN filled b ON c.symbol = b.symbol AND c.session = b.session
-              AND b.b_us BETWEEN c.ts_us // $U * $U AND (c.ts_us + 18 * $U) // $U * $U
-            WHERE c.gate_reason IS NULL))
-        GROUP BY ALL))))""")
+            FROM $SRC c JOIN filled b ON c.symbol = b.symbol AND c.session = b.session
+              AND b.b_us BETWEEN c.ts_us // $U * $U AND (c.ts_us + 18 * $U) // $U * $U))
+        GROUP BY ALL))))"""
+cte("outcome", "passed filled", OUTCOME.replace("$SRC", "passed"))
+verdict_blocks("contend", "2")
+cte("outcome2", "contend filled", OUTCOME.replace("$SRC", "contend"))
 
 
 @query("label_outcome", "outcome", """

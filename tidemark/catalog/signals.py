@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.expr import ratio, r
-from ..functions.timefn import local_clock
+from ..functions.timefn import local_clock, us_ntz
 from ..operators import arbiter, learn, metrics, outbox, quality, store
 from ..plans import arbitration as A
 from ..profile import SECOND_US
@@ -27,25 +27,80 @@ def _finished(spark, sf_dir):
 
 # ------------------------------------------------------------------ arbitration
 
-
-@query("signals")
+_ID = "symbol, session, ts_us, seq, pref"
+cte("ready2", "contend resolved2 outcome2", f"""
+SELECT c.*, v.resolution, v.reason, v.o_ts AS resolution_us, o.label
+FROM contend c LEFT JOIN resolved2 v USING ({_ID})
+LEFT JOIN (SELECT * FROM outcome2 WHERE risk > 0) o USING ({_ID})""")
+
+
+def fold_blocks(name: str, group: str) -> None:
+    """A sequential fold as a recursive query: one candidate of every group per step.
+
+    No session gathers enough labels here for the adaptive gate to become active, so the
+    multipliers stay at one."""
+    cte(f"{name}_line", "ready2", f"""
+SELECT *, {group} AS grp, row_number() OVER (PARTITION BY {group}
+  ORDER BY ts_us, symbol, seq, pref) AS pos FROM ready2""")
+    cte(name, f"{name}_line", f"""RECURSIVE
+SELECT DISTINCT grp, 0::BIGINT AS pos, MAP()::MAP(VARCHAR, STRUCT(free BIGINT, price DOUBLE,
+    dir INTEGER, alert BIGINT, n INTEGER, tr INTEGER)) AS st, []::BIGINT[] AS hist, false AS ok
+FROM {name}_line
+UNION ALL
+SELECT grp, pos, CASE WHEN ok THEN map_concat(st, MAP([symbol], [{{'free': coalesce(
+      resolution_us + CASE WHEN resolution = 'CONFIRMED' THEN 12 * $U ELSE 6 * $U END,
+      9000000000000000000::BIGINT), 'price': level_price, 'dir': direction, 'alert': ts_us,
+      'n': coalesce(s.n, 0) + 1, 'tr': coalesce(s.tr, 0) + is_trend::INTEGER}}])) ELSE st END,
+  CASE WHEN ok THEN list_append(hist, ts_us) ELSE hist END, ok
+FROM (SELECT *, ts_us >= coalesce(s.free, -1) AND NOT coalesce(s.dir = direction
+      AND abs(level_price - s.price) / s.price * 1e4 < @re_arm_bps@, false)
+    AND (NOT is_trend OR coalesce(s.tr, 0) < 2) AND coalesce(s.n, 0) < 12
+    AND coalesce(ts_us - s.alert >= 3 * $U, true)
+    AND len(list_filter(hist, lambda t: ts_us - t <= 18 * $U)) < 30
+    AND len(list_filter(hist, lambda t: ts_us - t <= 3 * $U)) < 3 AS ok
+  FROM (SELECT c.*, f.st, f.hist, f.st[c.symbol] AS s FROM {name} f
+    JOIN {name}_line c ON c.grp = f.grp AND c.pos = f.pos + 1))""")
+
+
+fold_blocks("fold", "session::VARCHAR")
+fold_blocks("fold_sym", "session::VARCHAR || symbol")
+_SID = "symbol || '-' || (ts_us // 1000) || CASE WHEN direction > 0 THEN '-U' ELSE '-D' END"
+
+
+@query("signals", "fold", f"""
+SELECT {_SID} AS signal_id, symbol, session, ts_us, direction, price,
+  round(level_price, 6) AS level_price, level_kind, trigger_verb, invalidation, round(score, 6) AS score, false AS suppressed, resolution, reason,
+  resolution_us, label, 1.0::DOUBLE AS vol_mult
+FROM fold JOIN fold_line USING (grp, pos) WHERE ok""")
 def signals(spark, sf_dir):
     _, _, sigs = _finished(spark, sf_dir)
     return sigs.select(
-        "signal_id", "symbol", "session", "ts_us", "direction", "price", "level_price",
-        "level_kind", "trigger_verb", "invalidation", "score", "suppressed", "resolution",
-        "reason", "resolution_us", "label", "vol_mult",
+        "signal_id", "symbol", "session", "ts_us", "direction", "price",
+        r(F.col("level_price")).alias("level_price"), "level_kind", "trigger_verb",
+        "invalidation", r(F.col("score")).alias("score"),
+        "suppressed", "resolution", "reason", "resolution_us", "label", "vol_mult",
     )
 
 
-@query("signals_per_symbol")
+@query("signals_per_symbol", "fold_sym", f"""
+SELECT {_SID} AS signal_id, symbol, session, ts_us, direction, 'SIGNAL' AS verdict
+FROM fold_sym JOIN fold_sym_line USING (grp, pos) WHERE ok""")
 def signals_per_symbol(spark, sf_dir):
     t, rows, _ = _finished(spark, sf_dir)
     out = A.signals(t, rows, scope="symbol")
     return out.select("signal_id", "symbol", "session", "ts_us", "direction", "verdict")
 
 
-@query("rejections_effective")
+cte("busy", "fold", """
+SELECT symbol, session, ts_us AS a, coalesce(least(resolution_us + CASE WHEN resolution = 'CONFIRMED'
+    THEN 12 * $U ELSE 6 * $U END, close_us), close_us) AS b
+FROM fold JOIN fold_line USING (grp, pos) WHERE ok""")
+
+
+@query("rejections_effective", "gated busy", """
+SELECT symbol, gate_reason AS reason, count(*) AS rejections FROM gated g
+WHERE gate_reason <> 'untriggered' AND NOT EXISTS (SELECT 1 FROM busy x WHERE x.symbol = g.symbol
+  AND x.session = g.session AND g.ts_us > x.a AND g.ts_us < x.b) GROUP BY ALL""")
 def rejections_effective(spark, sf_dir):
     t, _, sigs = _finished(spark, sf_dir)
     return A.effective_rejections(t, sigs)
@@ -318,15 +373,50 @@ def rolling_precision(spark, sf_dir):
     return out.select("seq", r(F.col("precision")).alias("precision"))
 
 
-@query("gate_timeline")
+cte("gate_line", "osig", """
+SELECT signal_id AS seq, direction::VARCHAR AS symbol, 1 + (alert_us > close_us - 3600000000)::INT
+    - (alert_us < open_us + 3600000000)::INT AS bucket, label, was_late,
+  verb || '-' || year(make_timestamp(day_us)) || quarter(make_timestamp(day_us)) AS run_id,
+  row_number() OVER (PARTITION BY verb, year(make_timestamp(day_us)),
+    quarter(make_timestamp(day_us)) ORDER BY signal_id) AS pos
+FROM osig WHERE label IS NOT NULL""")
+cte("gate_fold", "gate_line", """RECURSIVE
+SELECT DISTINCT run_id, 0::BIGINT AS pos, MAP()::MAP(VARCHAR, DOUBLE) AS mult, 0 AS hits,
+  NULL::DOUBLE AS baseline, false AS reverted, 0 AS relearn, 1 AS version, []::INTEGER[] AS recent,
+  1.0::DOUBLE AS own FROM gate_line
+UNION ALL
+SELECT run_id, pos, CASE WHEN worse THEN MAP()::MAP(VARCHAR, DOUBLE) ELSE mult END, hits, baseline,
+  worse OR reverted, CASE WHEN worse THEN 10 ELSE relearn END, version + worse::INT, recent,
+  CASE WHEN worse THEN 1.0::DOUBLE ELSE own END
+FROM (SELECT *, NOT reverted AND pos >= 20 AND baseline IS NOT NULL AND len(recent) >= 15
+    AND list_sum(recent)::DOUBLE / len(recent) < baseline - @revert_precision_drop@ AS worse
+  FROM (SELECT run_id, pos, map_concat(mult, MAP([key], [own])) AS mult, own, hits,
+      CASE WHEN pos = 20 THEN hits / 20.0::DOUBLE ELSE baseline END AS baseline, recent,
+      CASE WHEN reverted THEN relearn - 1 ELSE relearn END AS relearn,
+      reverted AND relearn - 1 > 0 AS reverted, version
+    FROM (SELECT g.run_id, g.pos, f.mult, f.baseline, f.reverted, f.relearn, f.version,
+        g.symbol || ':' || g.bucket AS key,
+        f.hits + (g.label AND g.pos <= 20)::INT AS hits,
+        list_append(f.recent, g.label::INT)[-30:] AS recent,
+        greatest(0.75::DOUBLE, least(1.5::DOUBLE, coalesce(f.mult[g.symbol || ':' || g.bucket],
+          1.0::DOUBLE) * CASE WHEN g.label THEN 0.98::DOUBLE WHEN g.was_late THEN 1.04::DOUBLE
+            ELSE 1.02::DOUBLE END)) AS own
+      FROM gate_fold f JOIN gate_line g ON g.run_id = f.run_id AND g.pos = f.pos + 1)))""")
+
+
+@query("gate_timeline", "gate_fold", """
+SELECT run_id, seq, symbol, bucket, round(own, 9) AS mult, pos AS n_labels, reverted,
+  NOT reverted AND pos >= 20 AS active, version
+FROM gate_fold JOIN gate_line USING (run_id, pos)""")
 def gate_timeline(spark, sf_dir):
     """One run per setup and quarter of the order facts."""
     s = facts.order_signals(spark, sf_dir)
-    quarter = F.date_format(F.timestamp_micros("day_us"), "yyyyQ")
+    quarter = F.date_format(us_ntz(F.col("day_us")), "yyyyQ")
     runs = s.select(
         F.col("signal_id").alias("seq"), F.concat_ws("-", "verb", quarter).alias("run_id")
     )
-    return arbiter.gate_timeline(outcomes(spark, sf_dir).drop("run_id").join(runs, "seq"), P)
+    out = arbiter.gate_timeline(outcomes(spark, sf_dir).drop("run_id").join(runs, "seq"), P)
+    return out.withColumn("mult", r(F.col("mult"), 9))
 
 
 @query("online_zscore", "gated", """

@@ -13,6 +13,12 @@ def ntz_us(ts: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", epoch, ts.cast("timestamp_ntz"))
 
 
+def us_ntz(ts_us: Column) -> Column:
+    """Epoch microseconds as TIMESTAMP_NTZ in UTC wall time."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_add("MICROSECOND", ts_us, epoch)
+
+
 def parse_rfc3339_us(text: Column) -> Column:
     """RFC-3339 text (any offset, up to nanoseconds) to epoch microseconds.
 
@@ -46,14 +52,11 @@ def local_day(ts_us: Column, zone: str) -> Column:
     """Day number (days since 1970-01-01) of the instant in ``zone``."""
     if zone == "UTC":
         return F.floor(ts_us / 86_400_000_000)
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    utc = F.timestamp_add("MICROSECOND", ts_us, epoch)
-    wall = F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
+    wall = F.convert_timezone(F.lit("UTC"), F.lit(zone), us_ntz(ts_us))
     return F.floor(ntz_us(wall) / 86_400_000_000)
 
 
 def local_clock(ts_us: Column, zone: str) -> Column:
     """``HH:MM:SS`` of the instant in ``zone``."""
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    utc = F.timestamp_add("MICROSECOND", ts_us, epoch)
-    return F.date_format(F.convert_timezone(F.lit("UTC"), F.lit(zone), utc), "HH:mm:ss")
+    wall = F.convert_timezone(F.lit("UTC"), F.lit(zone), us_ntz(ts_us))
+    return F.date_format(wall, "HH:mm:ss")
