@@ -28,3 +28,12 @@ def floor_us(ts_us: Column, width_us: int) -> Column:
 
 def r(x: Column, digits: int = 6) -> Column:
     return F.round(x, digits)
+
+
+def order_key(major: Column, minor: Column) -> Column:
+    """Two BIGINT order columns as one number, sorted by ``major`` then ``minor``.
+
+    ``min_by``/``max_by`` over a number run in a hash aggregate; over a struct Spark
+    would have to sort all rows before combining them."""
+    step = F.lit("10000000000000000000").cast("decimal(20,0)")
+    return major.cast("decimal(17,0)") * step + minor.cast("decimal(19,0)")

@@ -69,10 +69,14 @@ def running(
     chunk: str,
     order: Sequence[str],
     specs: Sequence[Running],
+    order_value: Column | None = None,
 ) -> DataFrame:
-    """Add running values per ``keys`` in ``order``; ``chunk`` must rise with ``order``."""
+    """Add running values per ``keys`` in ``order``; ``chunk`` must rise with ``order``.
+
+    ``order_value`` is the same order as one number (see ``expr.order_key``); with it and
+    plain values the per-chunk summary of first/last is a hash aggregate."""
     keys, order = list(keys), list(order)
-    ordering = F.struct(*order)
+    ordering = F.struct(*order) if order_value is None else order_value
     part = W.partitionBy(*keys, chunk).orderBy(*order)
     upto = part.rowsBetween(W.unboundedPreceding, W.currentRow)
     before = part.rowsBetween(W.unboundedPreceding, -1)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.expr import bps, floor_us, ratio
+from ..functions.expr import bps, floor_us, order_key, ratio
 from ..functions.scan import ewma
 from ..profile import Profile
 
@@ -27,7 +27,7 @@ def _in_session() -> Column:
 
 def bar_aggregates() -> list[Column]:
     """Aggregates of one bucket's prints; usable in batch and in streaming grouping."""
-    order = F.struct("ts_us", "seq")
+    order = order_key(F.col("ts_us"), F.col("seq"))
     forming = F.when(F.col("updates_last"), F.col("price"))
     flow = F.col("flow_eligible")
     size, worth = F.col("size"), F.col("price") * F.col("size")
@@ -37,7 +37,8 @@ def bar_aggregates() -> list[Column]:
         return F.coalesce(F.sum(F.when(cond, value)), F.lit(zero))
 
     return [
-        F.min_by(F.struct("price", "updates_last"), order).alias("_first"),
+        F.min_by("price", order).alias("_first"),
+        F.min_by("updates_last", order).alias("_first_forming"),
         F.max(forming).alias("_hi"),
         F.min(forming).alias("_lo"),
         F.max_by("price", F.when(F.col("updates_last"), order)).alias("_last"),
@@ -63,8 +64,8 @@ def finish_bars(agg: DataFrame) -> DataFrame:
     last price-forming price so far; high and low include the open."""
     before = W.partitionBy(*KEY).orderBy("b_us").rowsBetween(W.unboundedPreceding, -1)
     prev = F.last("_last", ignorenulls=True).over(before)
-    opened = F.when(F.col("_first.updates_last"), F.col("_first.price")).otherwise(
-        F.coalesce(prev, F.col("_first.price"))
+    opened = F.when(F.col("_first_forming"), F.col("_first")).otherwise(
+        F.coalesce(prev, F.col("_first"))
     )
     return agg.withColumn("open", opened).select(
         *KEY,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import floor_us
+from ..functions.expr import floor_us, order_key
 from ..functions.scan import Running, running
 from ..profile import Profile
 
@@ -26,7 +26,6 @@ def asof_quote(
     timestamp is visible only if ``see_equal_ts``."""
     t = trades.select(
         *trades.columns,
-        F.lit(None).cast("struct<bid:double,bid_size:bigint,ask:double,ask_size:bigint>").alias("q"),
         F.lit(1 if see_equal_ts else 0).alias("_prio"),
         F.lit(True).alias("_trade"),
     )
@@ -35,24 +34,33 @@ def asof_quote(
         "session",
         "ts_us",
         "seq",
-        F.struct(*QUOTE_FIELDS).alias("q"),
+        "bid",
+        F.coalesce("bid_size", F.lit(0)).alias("bid_size"),
+        "ask",
+        F.coalesce("ask_size", F.lit(0)).alias("ask_size"),
         F.lit(0 if see_equal_ts else 1).alias("_prio"),
         F.lit(False).alias("_trade"),
     )
     both = t.unionByName(q, allowMissingColumns=True).withColumn(
         "_chunk", floor_us(F.col("ts_us"), p.macro_us)
     )
+    flow_price = F.when(F.col("flow_eligible"), F.col("price"))
     seen = running(
         both,
         ["symbol", "session"],
         "_chunk",
         ["ts_us", "_prio", "seq"],
         [
-            Running("quote", "last", F.col("q")),
-            Running("prev_flow", "last", F.when(F.col("flow_eligible"), F.col("price")), inclusive=False),
+            # all four are set on every valid quote, so their latest values belong together
+            *[Running(f"q_{f}", "last", F.col(f)) for f in QUOTE_FIELDS],
+            Running("prev_flow", "last", flow_price, inclusive=False),
         ],
+        order_key(F.col("ts_us") * 4 + F.col("_prio"), F.col("seq")),
+    )
+    quote = F.struct(*[F.col(f"q_{f}").alias(f) for f in QUOTE_FIELDS])
+    return seen.filter("_trade").select(
+        *trades.columns, F.when(F.col("q_bid").isNotNull(), quote).alias("quote"), "prev_flow"
     )
-    return seen.filter("_trade").select(*trades.columns, "quote", "prev_flow")
 
 
 def with_side(joined: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.durable import durable
-from ..functions.expr import floor_us
+from ..functions.expr import floor_us, order_key
 from ..operators import bars as B
 from ..operators import baseline as base
 from ..operators import context as ctx
@@ -115,7 +115,7 @@ class Tape:
         return (
             w.filter("updates_last")
             .groupBy(*KEY, "b_us")
-            .agg(F.min_by("vwap", F.struct("ts_us", "seq")).alias("vwap0"))
+            .agg(F.min_by("vwap", order_key(F.col("ts_us"), F.col("seq"))).alias("vwap0"))
         )
 
     @cached_property
