@@ -88,8 +88,10 @@ def running(
             for s in specs
         ],
     )
-    summary = df.groupBy(*keys, chunk).agg(
-        *[_fold(s.kind, s.value, ordering).alias(f"_s_{s.name}") for s in specs]
+    summary = (
+        df.withColumn("_o", ordering)
+        .groupBy(*keys, chunk)
+        .agg(*[_fold(s.kind, s.value, F.col("_o")).alias(f"_s_{s.name}") for s in specs])
     )
     earlier = W.partitionBy(*keys).orderBy(chunk).rowsBetween(W.unboundedPreceding, -1)
     carry = summary.select(
