@@ -8,7 +8,6 @@ from pyspark.sql.window import Window as W
 from ..functions.expr import floor_us, r
 from ..functions.timefn import ntz_us
 from ..operators import bars as B
-from ..operators import baseline as base
 from ..operators import context as ctx
 from ..operators import ingest as I
 from ..operators import metrics

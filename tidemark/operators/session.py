@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.timefn import local_day, ntz_us, wall_to_utc_us
+from ..functions.timefn import local_day, wall_to_utc_us
 from ..profile import DAY_US, Profile
 
 NEW_YORK = "America/New_York"
