@@ -42,12 +42,9 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         before = mark
     else:
         raise RuntimeError("components did not settle")
-    # settled: every edge is (node, root) with root < node
-    return (
-        pairs.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root"))
-        .groupBy("node")
-        .agg(F.min("root").alias("root"))
-    )
+    # settled: every edge is (node, root) with root < node; roots name themselves
+    stars = pairs.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root"))
+    return stars.union(stars.select(F.col("root").alias("node"), "root")).groupBy("node").agg(F.min("root").alias("root"))
 
 
 def _two_ways(edges: DataFrame) -> DataFrame:
