@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, line_dedup, mixing, near_dedup, quality_rules, substring_dedup
+from tidemark.llm import decontaminate, line_dedup, mixing, near_dedup, quality_rules, substring_dedup, suffix_lm
 
-_MODULES = (decontaminate, line_dedup, mixing, near_dedup, quality_rules, substring_dedup)
+_MODULES = (decontaminate, line_dedup, mixing, near_dedup, quality_rules, substring_dedup, suffix_lm)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
