@@ -97,7 +97,7 @@ def matchers(rows: list) -> list[WuManber]:
     return [WuManber(size, patterns) for size, patterns in sorted(by_size.items())]
 
 
-def _search(shared):
+def _search(shared, carry):
     def run(batches):
         patterns = shared.value
         for batch in batches:
@@ -113,27 +113,29 @@ def _search(shared):
                 spans.append(np.flatnonzero(hit).astype(np.uint32).tobytes())
                 items.append(sorted(found))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text"), pa.array(sizes, pa.int64()), pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.string()))],
-                ["doc_id", "text", "n_words", "spans", "items"],
+                [batch.column("doc_id"), batch.column("text"), pa.array(sizes, pa.int64()), pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.string())), *(batch.column(c) for c in carry)],
+                ["doc_id", "text", "n_words", "spans", "items", *carry],
             )
 
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """Documents with the places of hit words (uint32 each) and the items that occur in them."""
+def contamination(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS, **carry: str) -> DataFrame:
+    """Documents with the places of hit words (uint32 each) and the items that occur in them;
+    ``carry`` names further columns to return, with their types."""
     spark = docs.sparkSession
     windows = picked(benchmark, item_id="string", text="string").mapInArrow(item_windows, "item_id string, window string").distinct()
     windows = durable(windows, "windows")
     passes = max(1, -(-windows.count() * 5 // (block_windows * 4)))
     windows = windows.withColumn("pass", F.pmod(F.xxhash64("window", "item_id"), F.lit(passes)))
-    out = picked(docs, doc_id="long", text="string").select(
-        "doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("spans"), F.lit(None).cast("array<string>").alias("items")
+    schema = "doc_id long, text string, n_words long, spans binary, items array<string>" + "".join(f", {k} {t}" for k, t in carry.items())
+    out = picked(docs, doc_id="long", text="string", **carry).select(
+        "doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("spans"), F.lit(None).cast("array<string>").alias("items"), *carry
     )
     for k in range(passes):
         block = windows.where(F.col("pass") == k).select("item_id", "window").collect()  # bounded: one block
         shared = spark.sparkContext.broadcast(matchers(block))
-        out = out.mapInArrow(_search(shared), "doc_id long, text string, n_words long, spans binary, items array<string>")
+        out = out.mapInArrow(_search(shared, list(carry)), schema)
         if k + 1 < passes:
             out = durable(out, "hits")
     return out

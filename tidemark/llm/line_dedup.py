@@ -111,9 +111,9 @@ def carried(ends: list) -> list[tuple[int, int, int]]:
     return out
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    return picked(docs, doc_id="long", text="string").select(
-        "doc_id", "text", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")
+def keyed(docs: DataFrame, **carry: str) -> DataFrame:
+    return picked(docs, doc_id="long", text="string", **carry).select(
+        "doc_id", "text", *carry, F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")
     )
 
 
@@ -161,28 +161,33 @@ def kept_lines(text: str | None, keep: bytes | None) -> tuple[int, int, str]:
     return len(lines), len(lines) - len(left), "\n".join(left)
 
 
-def apply_bitmaps(batches):
-    for batch in batches:
-        texts = [kept_lines(*x) for x in zip(batch.column("text").to_pylist(), batch.column("keep").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                pa.array([x[0] for x in texts], pa.int64()),
-                pa.array([x[1] for x in texts], pa.int64()),
-                pa.array([hashlib.sha256(x[2].encode()).hexdigest() for x in texts], pa.string()),
-                pa.array([x[2] for x in texts], pa.string()),
-                batch.column("mark"),
-            ],
-            ["doc_id", "n_lines", "n_dropped", "kept_sha256", "kept_text", "mark"],
-        )
-
-
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """Each document with its counts, the hash of what stays, and the text that stays."""
-    joined = keyed(docs).join(line_bitmaps(docs), ["doc", "mark"], "left").select("doc_id", "text", "keep", "mark")
-    return joined.mapInArrow(
-        apply_bitmaps, "doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept_text string, mark long"
-    )
+KEPT = "doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept_text string"
+
+
+def _apply_bitmaps(carry):
+    def run(batches):
+        for batch in batches:
+            texts = [kept_lines(*x) for x in zip(batch.column("text").to_pylist(), batch.column("keep").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    pa.array([x[0] for x in texts], pa.int64()),
+                    pa.array([x[1] for x in texts], pa.int64()),
+                    pa.array([hashlib.sha256(x[2].encode()).hexdigest() for x in texts], pa.string()),
+                    pa.array([x[2] for x in texts], pa.string()),
+                    *(batch.column(c) for c in carry),
+                ],
+                [*(x.split()[0] for x in KEPT.split(", ")), *carry],
+            )
+
+    return run
+
+
+def dedup_lines(docs: DataFrame, **carry: str) -> DataFrame:
+    """Each document with its counts, the hash of what stays, and the text that stays; ``carry``
+    names further columns to return, with their types."""
+    joined = keyed(docs, **carry).join(line_bitmaps(docs), ["doc", "mark"], "left").select("doc_id", "text", "keep", *carry)
+    return joined.mapInArrow(_apply_bitmaps(list(carry)), KEPT + "".join(f", {k} {t}" for k, t in carry.items()))
 
 
 def op5_line_dedup(spark, sf_dir):

@@ -35,13 +35,17 @@ SEED = 20240601
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def tag_of(doc_id: Column, source: Column, text: Column) -> Column:
+    return F.xxhash64(doc_id, source, text, F.lit(SEED))
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, tag): tag is a hash that deals documents and seeds their draws."""
     return picked(docs, doc_id="long", text="string", source="string").select(
         "doc_id",
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64("doc_id", "source", "text", F.lit(SEED)).alias("tag"),
+        tag_of(F.col("doc_id"), F.col("source"), F.col("text")).alias("tag"),
     )
 
 

@@ -151,22 +151,40 @@ def measures(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
+def verdict(m: dict[str, np.ndarray], max_covered: int, max_longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(base failed, kept) for each row."""
+    failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEATED_TRIGRAMS * m["n_words"])
+    return failed, ~failed & (100 * m["n_covered"] <= max_covered * m["n_words"]) & (m["longest_repeat"] <= max_longest)
+
+
 def quality(docs: DataFrame, max_covered: int = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
     """Measures and verdict of every document (doc_id, text)."""
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def judge(batches):
         for batch in batches:
             for a, b, data, off in X.batches_of_text(batch):
                 m = measures(data, off)
-                failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEATED_TRIGRAMS * m["n_words"])
-                good = ~failed & (100 * m["n_covered"] <= max_covered * m["n_words"]) & (m["longest_repeat"] <= max_longest)
+                failed, good = verdict(m, max_covered, max_longest)
                 out = {"doc_id": batch.column("doc_id").slice(a, b - a), **m, "base_failed": failed, "kept": good}
-                names = [x.split()[0] for x in SCHEMA.split(", ")]
                 yield pa.RecordBatch.from_arrays([out[n] if n == "doc_id" else pa.array(out[n]) for n in names], names)
 
     return picked(docs, doc_id="long", text="string").mapInArrow(judge, SCHEMA)
 
 
+def passing(docs: DataFrame, max_covered: int = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their columns."""
+
+    def sift(batches):
+        for batch in batches:
+            good = [np.empty(0, bool)]
+            for _, _, data, off in X.batches_of_text(batch):
+                good.append(verdict(measures(data, off), max_covered, max_longest)[1])
+            yield batch.filter(pa.array(np.concatenate(good)))
+
+    return docs.mapInArrow(sift, docs.schema)
+
+
 def op7_quality_rules(spark, sf_dir):
     from tidemark.llm.tables import table
 
