@@ -181,13 +181,24 @@ def align(a: list, b: list) -> list:
     return [a[0], out]
 
 
-def slots(node: Node, wrapper: list | None, path: str = ""):
-    """(slot, node) for each block element of a page, through its host's wrapper."""
-    known = {c[0]: c for c in wrapper[1]} if wrapper else {}
+def slots(node: Node, path: str = ""):
+    """(slot, node) for each block element: its labels from the root, one node of the wrapper."""
     for child in _blocks(node):
-        at = f"{path}/{child.label}" if child.label in known else f"{path}/?{child.label}"
+        at = f"{path}/{child.label}"
         yield at, child
-        yield from slots(child, known.get(child.label), at)
+        yield from slots(child, at)
+
+
+def in_wrapper(slot: str, wrapper: list) -> bool:
+    for label in slot.split("/")[1:]:
+        wrapper = next((c for c in wrapper[1] if c[0] == label), None)
+        if wrapper is None:
+            return False
+    return True
+
+
+def _hash(*parts: str) -> int:
+    return int.from_bytes(hashlib.blake2b("\n".join(parts).encode(), digest_size=8).digest(), "little", signed=True)
 
 
 def own_blocks(node: Node, keep=lambda n: True) -> list[str]:
@@ -213,7 +224,7 @@ def own_blocks(node: Node, keep=lambda n: True) -> list[str]:
 
 def headline(root: Node) -> str:
     for wanted in ("h1", "title"):
-        for _, n in slots(root, None):
+        for _, n in slots(root):
             if n.tag == wanted:
                 return " ".join("".join(c for c in n.children if isinstance(c, str)).split())
     return ""
@@ -231,11 +242,11 @@ def region(root: Node, found: list[tuple[str, Node]], chosen: str | None) -> lis
     for tag in REGIONS:
         nodes = [n for _, n in found if n.tag == tag and not n.outside]
         if nodes:
-            inner = {id(x) for n in nodes for _, x in slots(n, None)}
+            inner = {id(x) for n in nodes for _, x in slots(n)}
             return [n for n in nodes if id(n) not in inner]
     nodes = [n for at, n in found if at == chosen]
     if nodes:
-        inner = {id(x) for n in nodes for _, x in slots(n, None)}
+        inner = {id(x) for n in nodes for _, x in slots(n)}
         return [n for n in nodes if id(n) not in inner]
     return [root]
 
@@ -243,10 +254,22 @@ def region(root: Node, found: list[tuple[str, Node]], chosen: str | None) -> lis
 HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)"
 
 
-def skeletons(batches):
+FACT = "host string, shape string, slot string, head long, text long, n long"
+
+
+def page_facts(batches):
+    """The skeleton of each page (slot null) and the texts of its slots, from one parse."""
     for batch in batches:
-        shapes = [json.dumps(skeleton(dom(h)), separators=(",", ":")) for h in batch.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(shapes, pa.string())], ["host", "shape"])
+        rows = []
+        for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            root = dom(html)
+            rows.append((host, json.dumps(skeleton(root), separators=(",", ":")), None, None, None, None))
+            head = _hash(headline(root))
+            seen = {(at, text) for at, n in slots(root) if (text := _leaf_text(n))}
+            rows += [(host, None, at, head, _hash(at, text), len(text)) for at, text in seen]
+        cols = list(zip(*rows, strict=True)) or [()] * 6
+        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in FACT.split(", ")])
 
 
 def fold_shapes(group: pa.Table) -> pa.Table:
@@ -259,9 +282,9 @@ def fold_shapes(group: pa.Table) -> pa.Table:
     return pa.table({"host": [host], "shape": [json.dumps(wrapper, separators=(",", ":"))], "n": pa.array([sum(r[0] for r in rows)], pa.int64())})
 
 
-def induce(pages: DataFrame) -> DataFrame:
+def induce(facts: DataFrame) -> DataFrame:
     """(host, shape): each host's wrapper tree."""
-    shapes = durable(pages.select("host", "html").mapInArrow(skeletons, "host string, shape string").groupBy("host", "shape").agg(F.count("*").alias("n")), "shapes")
+    shapes = durable(facts.where("slot is null").groupBy("host", "shape").agg(F.count("*").alias("n")), "shapes")
     while True:
         count = shapes.groupBy("host").agg(F.count("*").alias("k"))
         most = count.agg(F.max("k")).first()[0] or 0
@@ -272,29 +295,9 @@ def induce(pages: DataFrame) -> DataFrame:
         shapes = durable(dealt.groupBy("host", "part").applyInArrow(fold_shapes, "host string, shape string, n long"), "shapes")
 
 
-def _hash(*parts: str) -> int:
-    return int.from_bytes(hashlib.blake2b("\n".join(parts).encode(), digest_size=8).digest(), "little", signed=True)
-
-
-def _slot_texts(batches):
-    for batch in batches:
-        rows = []
-        for host, shape, html in zip(*(batch.column(c).to_pylist() for c in ("host", "shape", "html")), strict=True):
-            root = dom(html)
-            head = _hash(headline(root))
-            for at, n in slots(root, json.loads(shape) if shape else None):
-                text = _leaf_text(n)
-                if text:
-                    rows.append((host, at, head, _hash(at, text), len(text)))
-        cols = list(zip(*rows, strict=True)) or [(), (), (), (), ()]
-        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["host", "slot", "head", "text", "n"])
-
-
-def slot_facts(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
+def slot_facts(facts: DataFrame) -> DataFrame:
     """(host, constants, content): hashes of template texts, and the slot with most varying text."""
-    texts = pages.join(wrappers, "host", "left").select("host", "shape", "html").mapInArrow(_slot_texts, "host string, slot string, head long, text long, n long")
-    facts = durable(texts.distinct(), "slot-texts")
+    facts = facts.where("slot is not null").select("host", "slot", "head", "text", "n").distinct()
     each = facts.groupBy("host", "slot", "text").agg(F.count_distinct("head").alias("k"), F.max("n").alias("n"))
     heads = facts.groupBy("host").agg(F.count_distinct("head").alias("heads"))
     judged = durable(each.join(heads, "host").withColumn("constant", (F.col("k") >= MIN_HEADLINES) & (F.col("k") >= CONSTANT_SHARE * F.col("heads"))), "slot-counts")
@@ -311,7 +314,9 @@ def _extract(batches):
         texts = []
         for html, shape, constants, content in zip(*(batch.column(c).to_pylist() for c in ("html", "shape", "constants", "content")), strict=True):
             root = dom(html)
-            found = list(slots(root, json.loads(shape) if shape else None))
+            found = list(slots(root))
+            if content is not None and shape and not in_wrapper(content, json.loads(shape)):
+                content = None
             gone: set[int] = set()
             if constants:
                 fixed = set(constants)
@@ -327,9 +332,8 @@ def _extract(batches):
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of ``pages`` (page_id, url, html)."""
     rows = picked(pages, page_id="long", url="string", html="string").withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1)))
-    wrappers = induce(rows)
-    facts = slot_facts(rows, wrappers)
-    known = durable(wrappers.join(facts, "host", "left"), "wrappers")
+    facts = durable(rows.select("host", "html").mapInArrow(page_facts, FACT), "page-facts")
+    known = durable(induce(facts).join(slot_facts(facts), "host", "left"), "wrappers")
     joined = rows.join(known, "host", "left").select("page_id", "url", "html", "shape", "constants", "content")
     return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
