@@ -139,11 +139,13 @@ class Index:
         self.bare = float(bare.mean()) if len(bare) else self.prior
         self.blocks = -(-len(stand) // BLOCK)
         at = place_of[ex]
-        order = np.lexsort((at, term))
-        self.at, self.weight = at[order], weight[order]
-        self.first = np.searchsorted(term[order], np.arange(len(idf) + 1))
-        self.top = np.zeros((len(idf), max(self.blocks, 1)), np.float64)
-        np.maximum.at(self.top, (term, at // BLOCK), weight)
+        # a list for each term and block that have something in common; list 0 is empty
+        lists, which = np.unique(term * max(self.blocks, 1) + at // BLOCK, return_inverse=True)
+        self.lists = np.zeros((len(lists) + 1, BLOCK))
+        self.lists[which + 1, at % BLOCK] = weight
+        self.list_of = np.zeros((len(idf), max(self.blocks, 1)), np.int32)
+        self.list_of[lists // max(self.blocks, 1), lists % max(self.blocks, 1)] = np.arange(len(lists)) + 1
+        self.top = self.lists.max(1)[self.list_of]
 
     def weigh(self, row, term, count) -> np.ndarray:
         w = (1 + np.log(count)) * self.idf[term]
@@ -154,23 +156,24 @@ class Index:
         """Places and cosines of the k nearest examples (cosine, then place); ``but`` is left out."""
         bound = weights @ self.top[terms]
         order = np.argsort(-bound, kind="stable")
-        spans = [(self.at[self.first[t] : self.first[t + 1]], self.weight[self.first[t] : self.first[t + 1]]) for t in terms]
+        lists = self.list_of[terms]
         found_at, found, least = np.empty(0, np.int64), np.empty(0), 0.0
-        step = 8
-        for a in range(0, len(order), step):
+        a, step = 0, 4
+        while a < len(order):
             blocks = order[a : a + step]
-            blocks = np.sort(blocks[bound[blocks] > max(least - 1e-9, 0.0)])
+            a, step = a + step, step * 2
+            if len(found) == k:
+                # a block that can only tie counts if it stands before the k-th
+                tie = (bound[blocks] >= least - 1e-11) & (blocks * BLOCK <= found_at[-1])
+                blocks = blocks[(bound[blocks] > least + 1e-11) | tie]
+            blocks = np.sort(blocks[bound[blocks] > 0])
             if not len(blocks):
+                if a < len(order) and bound[order[a]] >= max(least - 1e-11, 1e-300):
+                    continue
                 break
-            score = np.zeros(len(blocks) * BLOCK)
-            for (at, weight), q in zip(spans, weights, strict=True):
-                lo, hi = np.searchsorted(at, blocks * BLOCK), np.searchsorted(at, (blocks + 1) * BLOCK)
-                size = hi - lo
-                take = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-                local = at[take] - np.repeat((blocks - np.arange(len(blocks))) * BLOCK, size)
-                score[local] += q * weight[take]
+            score = np.einsum("t,tbk->bk", weights, self.lists[lists[:, blocks]]).ravel()
             hit = np.flatnonzero(score > 0)
-            place = hit + ((blocks - np.arange(len(blocks))) * BLOCK)[hit // BLOCK]
+            place = hit % BLOCK + blocks[hit // BLOCK] * BLOCK
             score = np.round(score[hit], 12)
             if but is not None:
                 stay = self.ids[place] != but
