@@ -499,7 +499,7 @@ def perf_rows(spark, sf_dir):
 
 def _med(c: str, d: int) -> str:
     return (
-        f"CAST(round(CAST(CAST(median({c}) FILTER (live AND newest <= 256) AS VARCHAR)"
+        f"CAST(round(CAST(CAST(median({c}) FILTER (live) AS VARCHAR)"
         f" AS DECIMAL(30, 15)), {d}) AS DOUBLE)"
     )
 

@@ -35,5 +35,6 @@ def order_key(major: Column, minor: Column) -> Column:
 
     ``min_by``/``max_by`` over a number run in a hash aggregate; over a struct Spark
     would have to sort all rows before combining them."""
-    step = F.lit("10000000000000000000").cast("decimal(20,0)")
-    return major.cast("decimal(17,0)") * step + minor.cast("decimal(19,0)")
+    step = F.lit(str(1 << 64)).cast("decimal(20,0)")
+    unsigned = minor.cast("decimal(19,0)") + F.lit(str(1 << 63)).cast("decimal(19,0)")
+    return major.cast("decimal(17,0)") * step + unsigned

@@ -132,26 +132,29 @@ def feed_gaps(live: DataFrame, p: Profile) -> DataFrame:
 def gap_backfill(live: DataFrame, history: DataFrame, p: Profile) -> DataFrame:
     """Live rows plus historical rows for the gaps; backfilled rows are flagged.
 
-    A gap is spread over the macro buckets it touches, so the join is on equality.
-    Rows known twice (same symbol, exchange, trade id) keep the live copy."""
+    A gap is spread over the macro buckets it touches, so the join is on equality.  Live rows
+    stay as they are; a fetched row goes if the session has a live row with its symbol,
+    exchange and trade id (nulls equal)."""
     lo, hi = floor_us(F.col("gap_from_us"), p.macro_us), floor_us(F.col("gap_to_us"), p.macro_us)
-    gaps = feed_gaps(live, p).withColumn(
-        "_chunk", F.explode(F.sequence(lo, hi, F.lit(p.macro_us)))
-    )
-    fetched = (
-        history.withColumn("_chunk", floor_us(F.col("ts_us"), p.macro_us))
-        .join(gaps, ["session", "_chunk"])
-        .filter(F.col("ts_us").between(F.col("gap_from_us"), F.col("gap_to_us")))
-        .select(*history.columns, F.lit(True).alias("is_backfill"))
-    )
-    both = live.withColumn("is_backfill", F.lit(False)).unionByName(fetched)
-    id_cols = ["symbol", "exchange", "trade_id"]
-    packed = F.struct(*[c for c in both.columns if c not in id_cols])
-    return (
-        both.groupBy(*id_cols)
-        .agg(F.min_by(packed, "is_backfill").alias("_row"))
-        .select(*id_cols, "_row.*")
-    )
+    gaps = feed_gaps(live, p).select(
+        F.col("session").alias("_gap_session"),
+        "gap_from_us",
+        "gap_to_us",
+        F.explode(F.sequence(lo, hi, F.lit(p.macro_us))).alias("_gap_chunk"),
+    )
+    inside = (
+        (F.col("session") == F.col("_gap_session"))
+        & (floor_us(F.col("ts_us"), p.macro_us) == F.col("_gap_chunk"))
+        & F.col("ts_us").between(F.col("gap_from_us"), F.col("gap_to_us"))
+    )
+    fetched = history.join(gaps, inside, "left_semi")
+    keys = ["session", "symbol", "exchange", "trade_id"]
+    known = live.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    new = fetched.join(known, same, "left_anti")
+    return live.withColumn("is_backfill", F.lit(False)).unionByName(new.withColumn("is_backfill", F.lit(True)))
 
 
 def feed_health(prints: DataFrame, p: Profile) -> DataFrame:
