@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -62,15 +63,19 @@ ALIGN = 64
 MAX_DEPTH = 200
 
 
+@lru_cache(maxsize=1 << 14)
+def role(tag: str, names: str) -> tuple[str, bool]:
+    """An element's label, and whether it is never part of the article."""
+    words = [w for w in re.split(r"[^a-z0-9]+", names.lower()) if w.isalpha()]
+    return ".".join([tag, *words[:3]]), tag in BOILERPLATE or (tag not in PLAIN and not MARKS.isdisjoint(words))
+
+
 class Node:
     __slots__ = ("tag", "label", "outside", "children")
 
     def __init__(self, tag: str, names: str = ""):
-        words = [w for w in re.split(r"[^a-z0-9]+", names.lower()) if w.isalpha()]
         self.tag = tag
-        self.label = ".".join([tag, *words[:3]])
-        #: parts that are never the article
-        self.outside = tag in BOILERPLATE or (tag not in PLAIN and not MARKS.isdisjoint(words))
+        self.label, self.outside = role(tag, names)
         self.children: list[Node | str] = []
 
 
@@ -92,7 +97,7 @@ class _Tree(HTMLParser):
                     break
                 if name in SCOPE and name not in ends:
                     break
-        node = Node(tag, " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")))
+        node = Node(tag, " ".join([v or "" for k, v in attrs if k in ("class", "id", "role")]) if attrs else "")
         self.open[-1].children.append(node)
         if tag not in VOID and len(self.open) < MAX_DEPTH:  # deeper ones are read as neighbours
             self.open.append(node)
@@ -110,6 +115,9 @@ class _Tree(HTMLParser):
             if self.open[i].tag in ("article", "main", "body") and tag not in ("body", "html"):
                 return
 
+    def updatepos(self, i, j):
+        return j  # line numbers are not needed
+
     def handle_data(self, data):
         self.open[-1].children.append(data)
 
@@ -219,7 +227,7 @@ def own_blocks(node: Node, keep=lambda n: True) -> list[str]:
                 walk(c)
 
     walk(node)
-    return [t for t in (re.sub(r"\s+", " ", "".join(x)).strip() for x in out) if t]
+    return [t for t in (" ".join("".join(x).split()) for x in out) if t]
 
 
 def headline(root: Node) -> str:
