@@ -183,6 +183,66 @@ def test_states_are_distributions():
     assert np.allclose(share[:, :-1].sum(1) + others * share[:, -1], 1, atol=1e-4)
 
 
+def plain_lm_scores(texts, held):
+    """Scores from plain counts: {text: score}; texts maps each text to its number of rows."""
+    d, end, fill = suffix_lm.DEPTH, chr(suffix_lm.END), chr(suffix_lm.FILL)
+    line = lambda t: fill * (d - 1) + end + "".join(w.lower().decode("latin-1") + " " for w in words(t)) + end
+    seen, word, total = [Counter() for _ in range(d + 1)], Counter(), 0
+    for t, k in texts.items():
+        if not held(t):
+            s = line(t)
+            for i in range(d, len(s)):
+                for n in range(d + 1):
+                    seen[n][s[i - n : i], s[i]] += k
+            word.update({w: c * k for w, c in Counter([w.lower() for w in words(t)] + [None]).items()})
+    total = sum(word.values())
+    ctx = [Counter() for _ in seen]
+    for n, x in enumerate(seen):
+        for (c, _), k in x.items():
+            ctx[n][c] += k
+    gain = Counter()
+    for n in range(1, d + 1):
+        for (c, a), k in seen[n].items():
+            if ctx[n][c] >= suffix_lm.MIN_COUNT and c[0] != fill:
+                gain[c] += k / ctx[n][c] * math.log2(k / ctx[n][c] / (seen[n - 1][c[1:], a] / ctx[n - 1][c[1:]]))
+    kept = {c[i:] for c, g in gain.items() if g >= suffix_lm.MIN_GAIN for i in range(len(c))}
+
+    def p(c, a):
+        if not c:
+            return (seen[0]["", a] + 0.5) / (ctx[0][""] + 128)
+        up = p(c[1:], a)
+        return (seen[len(c)][c, a] + suffix_lm.PRIOR * up) / (ctx[len(c)][c] + suffix_lm.PRIOR) if c in kept else up
+
+    out = {}
+    for t in texts:
+        s, i, score = line(t), d, 0.0
+        for w in [*words(t), None]:
+            size = 1 if w is None else len(w) + 1
+            states = math.prod(p(s[j - d : j], s[j]) for j in range(i, i + size))
+            i += size
+            share = word[w and w.lower()] / max(total, 1)
+            score += math.log10(suffix_lm.WORD_SHARE * share + (1 - suffix_lm.WORD_SHARE) * states)
+        out[t] = score
+    return out, kept
+
+
+def test_lm_from_plain_counts(spark):
+    """Contexts seen 36 times among six million symbols are states, as in a small corpus."""
+    is_held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    held = [i for i in range(9000) if is_held(i)]
+    free = [i for i in range(9000) if not is_held(i)]
+    often, rare = "the sea and the sand Über " * 80, "qzxjv kwyzq " * 6
+    rows = [(i, often) for i in free[:3000]] + [(i, rare) for i in free[3000:3006]] + [(free[3006], None), (free[3007], "one two")]
+    rows += list(zip(held, ["qzxjq kwyz", "sea", "unseen ß words", "Qzxjv the kwyzq"], strict=False))
+    df = spark.createDataFrame([(i, t, "a", "en", 0, "", "") for i, t in rows], DOC)
+    ids = {t or "": i for i, t in rows}
+    want, kept = plain_lm_scores(Counter(t or "" for _, t in rows), lambda t: is_held(ids[t]))
+    assert "qz" in kept
+    got = {r["doc_id"]: r["score"] for r in suffix_lm.lm_scores(df, remainder("doc_id", 10) == 0).collect()}
+    for i, t in rows:
+        assert got[i] == pytest.approx(want[t or ""], rel=1e-5)
+
+
 def test_toxicity(spark, none):
     rows = [(i, ("you idiot fool " if i % 5 == 0 else "nice calm day ") + f"word{i % 7} other", "a", "", 0, "", "") for i in range(300)]
     rows += [(1000, None, None, None, None, None, None), (None, "idiot", "a", "", 0, "", "")]

@@ -158,12 +158,15 @@ def answer(asked: DataFrame, reply: Callable) -> DataFrame:
     return asked.groupBy("slice").applyInArrow(run, ANSWER)
 
 
+def answers_by_pack(answers: DataFrame, name: str = "answers") -> DataFrame:
+    """(pack, answers): a list ordered by slice, in the order the keys were asked."""
+    lists = F.transform(F.array_sort(F.collect_list(F.struct("slice", "answer"))), lambda x: x["answer"])
+    return answers.where("pack >= 0").groupBy("pack").agg(lists.alias(name))
+
+
 def answered(packs: DataFrame, answers: DataFrame) -> DataFrame:
-    """Packs with their answers, a list ordered by slice, in the order the keys were asked."""
-    lists = answers.where("pack >= 0").groupBy("pack").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("slice", "answer"))), lambda x: x["answer"]).alias("answers")
-    )
-    return packs.select("pack", "doc", "held", "text").join(lists, "pack", "left")
+    """Packs with their answers."""
+    return packs.select("pack", "doc", "held", "text").join(answers_by_pack(answers), "pack", "left")
 
 
 def answers_of(value) -> np.ndarray:
