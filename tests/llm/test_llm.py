@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, line_dedup, mixing, near_dedup, quality_rules, substring_dedup, suffix_lm, toxicity, warc, wrappers
 from tidemark.llm.tables import components, remainder
@@ -255,6 +256,16 @@ def test_toxicity(spark, none):
     assert {r["score"] for r in by_id(toxicity.toxicity(df, labels.limit(0), remainder("doc_id", 5) == 0))} == {0.0}
 
 
+def test_rare_toxic_copy(spark):
+    """A near copy of a toxic example finds it by words that only this example has."""
+    rows = [(i, ("you idiot fool " if i % 3 == 0 else "nice calm day ") + f"word{i % 7} other", "a", "", 0, "", "") for i in range(1, 200)]
+    rows += [(1001, "vile brute scum other", "a", "", 0, "", ""), (1002, "Vile brute scum word3", "a", "", 0, "", "")]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(1, 200)] + [(1001, 1)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(spark.createDataFrame(rows, DOC), labels, F.lit(False)).collect()}
+    assert got[1002].evidence[0] == 1001 and got[1002].cosines[0] > 0.5
+    assert got[2].predicted == 0 and got[3].predicted == 1
+
+
 def test_nearest_is_exact():
     import numpy as np
 

@@ -1,18 +1,18 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over an inverted index.
 
 Examples are labelled rows, at most ``MAX_EXAMPLES`` of them (those with the smallest hash of
-their id).  Terms are words whose presence goes with the label among the examples (G-squared
-and a lift of two either way), at most ``MAX_TERMS``; their inverse document frequencies count
-all documents.  Both bounds are what is broadcast.
-
-The index lists the examples of each term in blocks with the largest weight of the term in the
-block.  A query sums these to an upper bound for each block, opens blocks from the highest
-bound down, and stops when no block can reach its k-th best: the result is exact.  The k
-nearest vote in proportion to their cosine, beside a prior; votes become probabilities by a
-monotone fit on the examples themselves, each scored without itself.  The nearest examples and
-their cosines are returned as evidence.
-
-Defined cases: a text without any term (empty and null ones too) gets the share of toxic
+their id).  Terms are all words of the examples; their inverse document frequencies count all
+documents.  Words whose presence goes with the label among the examples (G-squared and a lift of
+two either way) count fully, all others ``PLAIN`` times: the label weighs terms and deletes none.
+The examples' vectors are what is broadcast, so the sample bounds it.
+
+The index lists the examples of each term, those of frequent terms as full columns.  A query sums
+its lists, and every example that can be among its k nearest is scored again from its own vector:
+the result is exact.  The k nearest vote in proportion to their cosine, beside a prior; votes
+become probabilities by a monotone fit on the examples themselves, each scored without itself.
+The nearest examples and their cosines are returned as evidence.
+
+Defined cases: a text without any word of an example (empty and null ones too) gets the share of toxic
 examples without any term; labels without an id or a value teach nothing; repeated labels of an
 id count once (the larger); rows with a null id have no remainder and are reported as held out;
 repeated rows score alike; other columns are ignored; without examples every score is 0.
@@ -30,10 +30,15 @@ from tidemark.llm import text as X
 from tidemark.llm.tables import picked, remainder, table
 
 MAX_EXAMPLES = 20_000
-MAX_TERMS = 2_000
 MIN_G2, MIN_LIFT, MIN_DOCS = 15.0, 2.0, 5
-NEAREST, PRIOR_WEIGHT, BLOCK = 25, 1.0, 64
+#: Weight of a word that does not go with the label.
+PLAIN = 0.05
+NEAREST, PRIOR_WEIGHT = 25, 1.0
 EVIDENCE = 5
+#: A term that one example in so many has is kept as a column; queries that are summed at once.
+FREQUENT, TOGETHER = 16, 64
+#: More than the rounding of the sums.
+SLACK = 1e-4
 
 
 def words_in(data: np.ndarray, off: np.ndarray) -> X.Words:
@@ -59,11 +64,12 @@ def term_rows(batches):
             )
 
 
-def choose_terms(examples: DataFrame, total: int, positive: int) -> list[int]:
-    """Hashes of the words that go with the label."""
-    if not total or not positive or positive == total:
-        return []
+def choose_terms(examples: DataFrame, total: int, positive: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of the examples, and which of them go with the label."""
     counts = examples.select("toxic", "text").mapInArrow(term_rows, "term long, n long, pos long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    if not total or not positive or positive == total:
+        every = np.asarray(counts.select("term").toArrow().column("term").combine_chunks())
+        return every, np.zeros(len(every), bool)
 
     def part(seen, margin):
         expected = F.col("n") * F.lit(margin / total)
@@ -77,20 +83,18 @@ def choose_terms(examples: DataFrame, total: int, positive: int) -> list[int]:
     neg = F.col("n") - F.col("pos")
     g2 = 2 * (part(F.col("pos"), positive) + part(neg, total - positive) + rest(F.col("pos"), positive) + rest(neg, total - positive))
     lift = (F.col("pos") / F.col("n")) / F.lit(positive / total)
-    best = (
-        counts.where((F.col("n") >= MIN_DOCS) & ((lift >= MIN_LIFT) | (lift <= 1 / MIN_LIFT)))
-        .withColumn("g2", g2)
-        .where(F.col("g2") >= MIN_G2)
-        .orderBy(F.desc("g2"), "term")
-        .limit(MAX_TERMS)
-    )
-    return [r.term for r in best.select("term").collect()]
+    goes = (F.col("n") >= MIN_DOCS) & ((lift >= MIN_LIFT) | (lift <= 1 / MIN_LIFT)) & (g2 >= MIN_G2)
+    out = counts.select("term", goes.alias("goes")).toArrow()  # bounded by the sample
+    return np.asarray(out.column("term").combine_chunks()), out.column("goes").combine_chunks().to_numpy(zero_copy_only=False)
 
 
 class Terms:
-    def __init__(self, hashes: list[int]):
+    def __init__(self, hashes):
         self.keys = np.sort(np.array(hashes, np.int64).view(X.U))
 
+    def places(self, hashes) -> np.ndarray:
+        return np.searchsorted(self.keys, np.array(hashes, np.int64).view(X.U))
+
     def counts(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, term, count) of the terms in each row, by row."""
         w = words_in(data, off)
@@ -111,78 +115,92 @@ def document_counts(terms: Terms):
                 total[:-1] += np.bincount(t, minlength=len(terms.keys))
                 docs += j - i
         total[-1] = docs
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["at", "n"])
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
 
     return run
 
 
 class Index:
-    """Block-max inverted index of labelled TF-IDF vectors."""
+    """Inverted index of labelled TF-IDF vectors."""
 
     def __init__(self, terms: Terms, idf: np.ndarray, ids, labels, rows):
         """rows: (example, term, count) arrays."""
         self.terms, self.idf = terms, idf
         ex, term, count = rows
-        weight = self.weigh(ex, term, count)
-        lead = np.full(len(ids), len(idf), np.int64)
-        order = np.lexsort((-weight, ex))
-        first = order[np.unique(ex[order], return_index=True)[1]]
-        lead[ex[first]] = term[first]
-        some = np.flatnonzero(lead < len(idf))
-        # examples with the same leading term stand together, so that block maxima are tight
+        ids, labels = np.asarray(ids, np.int64), np.asarray(labels, np.int64)
+        size = np.bincount(ex, minlength=len(ids))
+        stand = np.flatnonzero(size)
+        stand = stand[np.argsort(ids[stand], kind="stable")]
         place_of = np.full(len(ids), -1, np.int64)
-        stand = some[np.lexsort((np.asarray(ids)[some], lead[some]))]
         place_of[stand] = np.arange(len(stand))
-        self.ids, self.labels = np.asarray(ids, np.int64)[stand], np.asarray(labels, np.int64)[stand]
-        bare = np.asarray(labels)[lead == len(idf)]
+        self.ids, self.labels = ids[stand], labels[stand]
+        bare = labels[size == 0]
         self.prior = float(np.mean(labels)) if len(labels) else 0.0
         self.bare = float(bare.mean()) if len(bare) else self.prior
-        self.blocks = -(-len(stand) // BLOCK)
-        at = place_of[ex]
-        # a list for each term and block that have something in common; list 0 is empty
-        lists, which = np.unique(term * max(self.blocks, 1) + at // BLOCK, return_inverse=True)
-        self.lists = np.zeros((len(lists) + 1, BLOCK))
-        self.lists[which + 1, at % BLOCK] = weight
-        self.list_of = np.zeros((len(idf), max(self.blocks, 1)), np.int32)
-        self.list_of[lists // max(self.blocks, 1), lists % max(self.blocks, 1)] = np.arange(len(lists)) + 1
-        self.top = self.lists.max(1)[self.list_of]
+        order = np.lexsort((term, place_of[ex]))
+        self.edge = np.concatenate([[0], np.cumsum(size[stand])])
+        self.term, self.weight = term[order].astype(np.int32), self.weigh(ex, term, count)[order]
+        self.lists = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"lists": None}
+
+    def open(self) -> Index:
+        if self.lists is not None:
+            return self
+        order = np.argsort(self.term, kind="stable")
+        has = np.bincount(self.term, minlength=len(self.idf))
+        self.begin = np.concatenate([[0], np.cumsum(has)])
+        self.lists = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.edge))[order], self.weight[order]
+        often = np.flatnonzero(has * FREQUENT > len(self.ids))
+        self.column = np.full(len(self.idf), -1, np.int64)
+        self.column[often] = np.arange(len(often))
+        self.full = np.zeros((len(often), len(self.ids)), np.float32)
+        for i, t in enumerate(often):
+            part = slice(self.begin[t], self.begin[t + 1])
+            self.full[i, self.lists[0][part]] = self.lists[1][part]
+        self.query = np.zeros(len(self.idf))
+        return self
 
     def weigh(self, row, term, count) -> np.ndarray:
         w = (1 + np.log(count)) * self.idf[term]
         norm = np.sqrt(np.bincount(row, w * w, row.max() + 1 if len(row) else 0))
         return w / norm[row]
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples (cosine, then place); ``but`` is left out."""
-        bound = weights @ self.top[terms]
-        order = np.argsort(-bound, kind="stable")
-        lists = self.list_of[terms]
-        found_at, found, least = np.empty(0, np.int64), np.empty(0), 0.0
-        a, step = 0, 4
-        while a < len(order):
-            blocks = order[a : a + step]
-            a, step = a + step, step * 2
-            if len(found) == k:
-                # a block that can only tie counts if it stands before the k-th
-                tie = (bound[blocks] >= least - 1e-11) & (blocks * BLOCK <= found_at[-1])
-                blocks = blocks[(bound[blocks] > least + 1e-11) | tie]
-            blocks = np.sort(blocks[bound[blocks] > 0])
-            if not len(blocks):
-                if a < len(order) and bound[order[a]] >= max(least - 1e-11, 1e-300):
-                    continue
-                break
-            score = np.einsum("t,tbk->bk", weights, self.lists[lists[:, blocks]]).ravel()
-            hit = np.flatnonzero(score > 0)
-            place = hit % BLOCK + blocks[hit // BLOCK] * BLOCK
-            score = np.round(score[hit], 12)
-            if but is not None:
-                stay = self.ids[place] != but
-                place, score = place[stay], score[stay]
-            found_at, found = np.concatenate([found_at, place]), np.concatenate([found, score])
-            best = np.lexsort((found_at, -found))[:k]
-            found_at, found = found_at[best], found[best]
-            least = found[-1] if len(found) == k else 0.0
-        return found_at, found
+    def frequent(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the frequent terms of each query (terms, weights) give every example."""
+        self.open()
+        q = np.zeros((len(queries), len(self.full)), np.float32)
+        for i, (terms, weights) in enumerate(queries):
+            c = self.column[terms]
+            q[i, c[c >= 0]] = weights[c >= 0]
+        return q @ self.full
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, but: int | None = None, begun: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the k nearest examples (cosine, then place); ``but`` is left out.
+        ``begun`` is the query's row of ``frequent``."""
+        begun = self.frequent([(terms, weights)])[0] if begun is None else begun
+        few = self.column[terms] < 0
+        spans = [slice(a, b) for a, b in zip(self.begin[terms[few]], self.begin[terms[few] + 1], strict=True)]
+        total = begun.astype(np.float64)
+        if spans:
+            at = np.concatenate([self.lists[0][x] for x in spans])
+            own = np.concatenate([self.lists[1][x] for x in spans])
+            total += np.bincount(at, own * np.repeat(weights[few], [x.stop - x.start for x in spans]), len(total))
+        if but is not None:
+            total[np.searchsorted(self.ids, but) : np.searchsorted(self.ids, but, "right")] = 0
+        least = np.partition(total, -k)[-k] if len(total) > k else 0.0
+        place = np.flatnonzero((total > 0) & (total >= least - SLACK))
+        size = self.edge[place + 1] - self.edge[place]
+        owner = np.repeat(np.arange(len(place)), size)
+        cell = np.arange(size.sum()) + np.repeat(self.edge[place] - np.concatenate([[0], np.cumsum(size)[:-1]]) if len(place) else size, size)
+        self.query[terms] = weights
+        score = np.round(np.bincount(owner, self.query[self.term[cell]] * self.weight[cell], len(place)), 12)
+        self.query[terms] = 0
+        best = np.lexsort((place, -score))[:k]
+        best = best[score[best] > 0]
+        return place[best], score[best]
 
     def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
         return float((cosines @ self.labels[places] + PRIOR_WEIGHT * self.prior) / (cosines.sum() + PRIOR_WEIGHT))
@@ -193,16 +211,19 @@ class Index:
         weight = self.weigh(row, term, count)
         edge = np.searchsorted(row, np.arange(len(off)))
         known: dict = {}
+        keys = []
         for i in range(len(off) - 1):
             a, b = edge[i], edge[i + 1]
-            if a == b or not self.blocks:
-                yield np.nan, (), ()
-                continue
-            key = (term[a:b].tobytes(), count[a:b].tobytes(), None if ids is None else ids[i])
-            if key not in known:
-                near = self.nearest(term[a:b], weight[a:b], NEAREST, key[2])
-                known[key] = (self.vote(*near), *near)
-            yield known[key]
+            keys.append((term[a:b].tobytes(), count[a:b].tobytes(), None if ids is None else ids[i]) if b > a and len(self.ids) else None)
+        first = {key: i for i, key in reversed(list(enumerate(keys))) if key is not None}
+        todo = sorted(first.values())
+        for a in range(0, len(todo), TOGETHER):
+            queries = [(term[edge[i] : edge[i + 1]], weight[edge[i] : edge[i + 1]]) for i in todo[a : a + TOGETHER]]
+            for i, query, begun in zip(todo[a : a + TOGETHER], queries, self.frequent(queries), strict=True):
+                near = self.nearest(*query, NEAREST, keys[i][2], begun)
+                known[keys[i]] = (self.vote(*near), *near)
+        for key in keys:
+            yield (np.nan, (), ()) if key is None else known[key]
 
 
 def monotone(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -233,12 +254,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out, max_examples: int = M
     # the broadcast side is at most max_examples rows of two numbers
     examples = durable(base.join(F.broadcast(taught), "doc_id").select("doc_id", "toxic", "text"), "examples")
     total, positive = examples.agg(F.count("*"), F.sum("toxic")).first()
-    terms = Terms(choose_terms(examples, total, int(positive or 0)))
-    counted = base.select("text").mapInArrow(document_counts(terms), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    chosen, goes = choose_terms(examples, total, int(positive or 0))
+    terms = Terms(chosen)
+    counted = base.select("text").mapInArrow(document_counts(terms), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     seen = np.zeros(len(terms.keys) + 1)
-    for r in counted:  # one row a term
-        seen[r.at] = r.n
+    seen[np.asarray(counted.column("at").combine_chunks())] = np.asarray(counted.column("n").combine_chunks())  # one row a term
     idf = np.log((1 + seen[-1]) / (1 + seen[:-1])) + 1
+    idf[terms.places(chosen)] *= np.where(goes, 1.0, PLAIN)
 
     def vectors(batches):
         for batch in batches:
@@ -249,8 +271,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out, max_examples: int = M
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in ("doc_id", "toxic")), *lists], ["doc_id", "toxic", "t", "c"])
 
     known = examples.mapInArrow(vectors, "doc_id long, toxic int, t array<int>, c array<int>").orderBy("doc_id", "t", "c").toArrow()
-    size = np.array([len(x) for x in known.column("t").to_pylist()], np.int64)
-    flat = [np.array([v for x in known.column(k).to_pylist() for v in x], np.int64) for k in ("t", "c")]
+    lists = [known.column(k).combine_chunks() for k in ("t", "c")]
+    size = np.asarray(lists[0].value_lengths(), np.int64)
+    flat = [np.asarray(x.flatten(), np.int64) for x in lists]
     index = Index(terms, idf, known.column("doc_id").to_pylist(), known.column("toxic").to_pylist(), (np.repeat(np.arange(len(size)), size), *flat))
     shared = spark.sparkContext.broadcast(index)
 
