@@ -55,3 +55,21 @@ def test_order_key_with_signed_minors(spark):
     rows = [(1, 9 * 10**18), (2, -9 * 10**18), (1, -5), (1, 0), (-3, 7)]
     df = spark.createDataFrame(rows, "a long, b long").orderBy(order_key(F.col("a"), F.col("b")))
     assert [tuple(r) for r in df.collect()] == sorted(rows)
+
+
+def test_price_at_long_after_the_last_bar(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from tidemark.catalog import bars
+    from tidemark.catalog.base import P
+
+    end = P.macro_us - P.unit_us
+    late = P.macro_us * P.session_macros * 5
+    prints = [("A", 1, end - 1, 1), ("A", 1, end, 2), ("A", 1, late, 3), ("B", 1, late, 4)]
+    fake = SimpleNamespace(
+        sided=spark.createDataFrame(prints, "symbol string, session long, ts_us long, seq long"),
+        macro=spark.createDataFrame([("A", 1, 0, 7.0)], "symbol string, session long, m_us long, close double"),
+    )
+    monkeypatch.setattr(bars, "tape", lambda *_: fake)
+    got = {r.seq: r.minute_close for r in bars.price_at(spark, "").collect()}
+    assert got == {1: None, 2: 7.0, 3: 7.0, 4: None}

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..functions.expr import floor_us, r
+from ..functions.scan import Running, running
 from ..functions.timefn import ntz_us
 from ..operators import bars as B
 from ..operators import context as ctx
@@ -431,20 +431,18 @@ SELECT s.seq, m.close AS minute_close FROM sided s ASOF LEFT JOIN
 def price_at(spark, sf_dir):
     """Close of the last macro bar ending no later than one unit after the instant."""
     t = tape(spark, sf_dir)
-    rows = t.sided.select("symbol", "session", "ts_us", "seq").withColumn(
-        "b_us", floor_us(F.col("ts_us"), P.unit_us)
-    )
-    w = W.partitionBy("symbol", "session").orderBy("m_us")
+    c = F.col
+    rows = t.sided.select("symbol", "session", "ts_us", "seq", F.lit(1).alias("_prio"))
     bars = t.macro.select(
-        "symbol", "session", "m_us", "close",
-        (F.col("m_us") + P.macro_us - P.unit_us).alias("from_us"),
-    ).withColumn("_next", F.lead("from_us").over(w))
-    # bars know for which units they are the latest one, so the lookup is on equality
-    last = F.coalesce(F.col("_next"), F.col("from_us") + P.session_macros * 2 * P.macro_us)
-    spread = bars.withColumn(
-        "b_us", F.explode(F.sequence("from_us", last - P.unit_us, F.lit(P.unit_us)))
-    ).select("symbol", "session", "b_us", F.col("close").alias("minute_close"))
-    return rows.join(spread, ["symbol", "session", "b_us"], "left").select("seq", "minute_close")
+        "symbol", "session", (c("m_us") + P.macro_us - P.unit_us).alias("ts_us"),
+        F.lit(0).alias("_prio"), F.struct("close").alias("_bar"),
+    )
+    both = rows.unionByName(bars, allowMissingColumns=True).withColumn(
+        "_chunk", floor_us(c("ts_us"), P.macro_us)
+    )
+    last = Running("last", "last", c("_bar"))
+    seen = running(both, ["symbol", "session"], "_chunk", ["ts_us", "_prio", "seq"], [last])
+    return seen.filter("_prio = 1").select("seq", c("last.close").alias("minute_close"))
 
 
 # ------------------------------------------------------------------ flow features of a print
