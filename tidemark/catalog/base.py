@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.warmup import WarmUp
 from ..plans.pipeline import Tape
 from ..profile import DAY_US
 from ..sources import views as V
@@ -41,6 +42,19 @@ def tape(spark: SparkSession, sf_dir: str) -> Tape:
     return _TAPES[key]
 
 
+def warm_tape(spark: SparkSession, sf_dir: str) -> Tape:
+    """The events tape with every session starting late, warmed up from historical bars."""
+    key = (spark.sparkContext.applicationId, sf_dir, "warm")
+    if key not in _TAPES:
+        sessions = V.events_sessions(spark, sf_dir)
+        starts = V.events_starts(sessions)
+        prints = V.events_prints(spark, sf_dir).join(starts, "session").filter("ts_us >= start_us").drop("start_us")
+        minutes, days = (V.events_hist(spark, sf_dir, width) for width in (P.macro_us, DAY_US))
+        warm = WarmUp(minutes, days, starts, zone="UTC")
+        _TAPES[key] = Tape(prints, V.events_quotes(spark, sf_dir), sessions, P, V.MARKET, V.FEAR, warm=warm)
+    return _TAPES[key]
+
+
 def cte(name: str, needs: str, body: str) -> None:
     """Define a named SQL block; ``$U`` and friends become grid constants."""
     CTES[name] = (tuple(needs.split()), fill(body))

@@ -1,6 +1,6 @@
 """All registered queries (importing the area modules registers them)."""
 
-from . import bars, ingest, levels, signals  # noqa: F401
+from . import bars, ingest, levels, signals, warm  # noqa: F401
 from .base import ORACLES, QUERIES, compose
 
 __all__ = ["QUERIES", "oracles"]

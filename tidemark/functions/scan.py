@@ -70,11 +70,14 @@ def running(
     order: Sequence[str],
     specs: Sequence[Running],
     order_value: Column | None = None,
+    initial: DataFrame | None = None,
 ) -> DataFrame:
     """Add running values per ``keys`` in ``order``; ``chunk`` must rise with ``order``.
 
     ``order_value`` is the same order as one number (see ``expr.order_key``); with it and
-    plain values the per-chunk summary of first/last is a hash aggregate."""
+    plain values the per-chunk summary of first/last is a hash aggregate.  ``initial`` has a
+    row per key with what was known before its first row, in columns named like the values
+    that it starts; values without such a column start empty."""
     keys, order = list(keys), list(order)
     ordering = F.struct(*order) if order_value is None else order_value
     part = W.partitionBy(*keys, chunk).orderBy(*order)
@@ -99,6 +102,18 @@ def running(
         chunk,
         *[_over(s.kind, F.col(f"_s_{s.name}"), earlier).alias(f"_c_{s.name}") for s in specs],
     )
+    if initial is not None:
+        starts = {s.name: F.col(f"_i_{s.name}") for s in specs if s.name in initial.columns}
+        rows = initial.select(*keys, *[F.col(n).alias(f"_i_{n}") for n in starts])
+        carry = carry.join(rows, keys, "left").select(
+            *keys,
+            chunk,
+            *[
+                (_join(s.kind, starts[s.name], c) if s.name in starts else c).alias(f"_c_{s.name}")
+                for s in specs
+                for c in [F.col(f"_c_{s.name}")]
+            ],
+        )
     joined = local.join(carry, [*keys, chunk], "left")
     return joined.select(
         *df.columns,
@@ -157,9 +172,16 @@ def halo(df: DataFrame, ts: str, chunk_us: int, back_us: int, out: str) -> DataF
 
 
 def ewma(
-    df: DataFrame, keys: Sequence[str], order: str, value: Column, alpha: float, out: str
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    value: Column,
+    alpha: float,
+    out: str,
+    initial: DataFrame | None = None,
 ) -> DataFrame:
-    """Exponential average whose first value is the first input (bar-level tables).
+    """Exponential average whose first value is the first input (bar-level tables), or which
+    goes on from ``initial``: a row per key with the average so far in a column named ``out``.
 
     Inside a block the recurrence is a weighted prefix sum; the block size keeps the
     weights inside double range.  Blocks chain through their (length, end) pairs."""
@@ -174,6 +196,9 @@ def ewma(
         .withColumn("_b", F.floor(F.col("_i") / block))
         .withColumn("_p", F.col("_i") % block)
     )
+    if initial is not None:
+        rows = rows.join(initial.select(*keys, F.col(out).alias("_start")), keys, "left")
+        rows = rows.withColumn("_x0", F.coalesce("_start", "_x0")).drop("_start")
     inside = W.partitionBy(*keys, "_b").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     scaled = F.col("_x") * F.pow(F.lit(keep), -F.col("_p"))
     rows = rows.withColumn(

@@ -57,13 +57,17 @@ def bar_aggregates() -> list[Column]:
     ]
 
 
-def finish_bars(agg: DataFrame) -> DataFrame:
+def finish_bars(agg: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """Open, high, low and close from the aggregates of all buckets of a session.
 
     A bucket opens at its first print when that print is price-forming, else at the
-    last price-forming price so far; high and low include the open."""
+    last price-forming price so far (``last_price`` of the key's seeds before any); high and
+    low include the open."""
     before = W.partitionBy(*KEY).orderBy("b_us").rowsBetween(W.unboundedPreceding, -1)
     prev = F.last("_last", ignorenulls=True).over(before)
+    if seeds is not None:
+        agg = agg.join(seeds.select(*KEY, F.col("last_price").alias("_seed")), list(KEY), "left")
+        prev = F.coalesce(prev, "_seed")
     opened = F.when(F.col("_first_forming"), F.col("_first")).otherwise(
         F.coalesce(prev, F.col("_first"))
     )
@@ -87,10 +91,10 @@ def finish_bars(agg: DataFrame) -> DataFrame:
     )
 
 
-def micro_bars(prints: DataFrame, p: Profile) -> DataFrame:
+def micro_bars(prints: DataFrame, p: Profile, seeds: DataFrame | None = None) -> DataFrame:
     """One row per (symbol, session, unit) that has prints."""
     rows = prints.withColumn("b_us", floor_us(F.col("ts_us"), p.unit_us))
-    return finish_bars(rows.groupBy(*KEY, "b_us").agg(*bar_aggregates()))
+    return finish_bars(rows.groupBy(*KEY, "b_us").agg(*bar_aggregates()), seeds)
 
 
 def _flat(price: Column, b_us: Column, source: DataFrame) -> list[Column]:
@@ -185,9 +189,12 @@ def with_bar_windows(
     sums: Sequence[int] = (5, 15, 60),
     agos: Sequence[int] = (5, 15),
     ranges: Sequence[int] = (15,),
+    seeds: DataFrame | None = None,
 ) -> DataFrame:
     """State just *before* each bucket: window sums, closes k bars ago, extremes, VWAP.
 
+    ``seeds`` (see ``warmup.state_seeds``) are what the session had before its first bar.
+
     Sums over integers are differences of one prefix sum, so their cost does not grow
     with the window length."""
     w = W.partitionBy(*KEY).orderBy("b_us")
@@ -214,7 +221,22 @@ def with_bar_windows(
         *[F.max("high").over(w.rowsBetween(-k, -1)).alias(f"p_hi{k}") for k in ranges],
         *[F.min("low").over(w.rowsBetween(-k, -1)).alias(f"p_lo{k}") for k in ranges],
     )
-    return out
+    return out if seeds is None else _seeded(out, seeds)
+
+
+def _seeded(rows: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Cumulative session values with the seeds of their key."""
+    names = ("seed_pv", "seed_v", "seed_hi", "seed_lo")
+    both = rows.join(seeds.select(*KEY, *names), list(KEY), "left")
+    known = F.col("seed_v").isNotNull()
+    return both.withColumns(
+        {
+            "c_pv": F.when(known, F.col("seed_pv") + F.coalesce("c_pv", F.lit(0.0))).otherwise(F.col("c_pv")),
+            "c_v": F.when(known, F.col("seed_v") + F.coalesce("c_v", F.lit(0))).otherwise(F.col("c_v")),
+            "c_hi": F.greatest("c_hi", "seed_hi"),
+            "c_lo": F.least("c_lo", "seed_lo"),
+        }
+    ).drop(*names)
 
 
 # Columns of the bar a print falls into that would look ahead of the print.
@@ -287,11 +309,23 @@ def print_windows(
 # ------------------------------------------------------------------ macro-level windows
 
 
-def with_ema(macro: DataFrame) -> DataFrame:
-    """EMA of macro closes and its change over three bars (null before four values)."""
-    out = ewma(macro.filter(F.col("close") > 0), KEY, "m_us", F.col("close"), EMA_ALPHA, "ema20")
+def with_ema(macro: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+    """EMA of macro closes and its change over three bars (null before four values).
+
+    With ``seeds`` the average goes on from their ``ema``, whose last values are ``ema_tail``."""
+    rows, close = macro.filter(F.col("close") > 0), F.col("close")
     w = W.partitionBy(*KEY).orderBy("m_us")
-    return out.withColumn("ema_change", F.col("ema20") - F.lag("ema20", 3).over(w))
+    ago = F.lag("ema20", 3).over(w)
+    if seeds is None:
+        out = ewma(rows, KEY, "m_us", close, EMA_ALPHA, "ema20")
+        return out.withColumn("ema_change", F.col("ema20") - ago)
+    initial = seeds.select(*KEY, F.col("ema").alias("ema20"))
+    out = ewma(rows, KEY, "m_us", close, EMA_ALPHA, "ema20", initial)
+    out = out.join(seeds.select(*KEY, F.col("ema_tail").alias("_tail")), list(KEY), "left")
+    # bar i (from 1) looks three values back, so the first three look into the tail
+    at = F.row_number().over(w)
+    earlier = F.when((at <= 3) & (F.size("_tail") + at >= 4), F.get("_tail", F.size("_tail") + at - 4))
+    return out.withColumn("ema_change", F.col("ema20") - F.coalesce(ago, earlier)).drop("_tail")
 
 
 def with_ema_slope(macro: DataFrame) -> DataFrame:

@@ -169,10 +169,10 @@ def compression(macro: DataFrame, p: Profile) -> DataFrame:
     )
 
 
-def macro_structure(macro: DataFrame, p: Profile) -> DataFrame:
+def macro_structure(macro: DataFrame, p: Profile, seeds: DataFrame | None = None) -> DataFrame:
     """Everything a completed macro bar publishes, one row per bar, numbered by epoch."""
     w = W.partitionBy(*KEY).orderBy("m_us")
-    rows = with_ema(compression(swing5_levels(swing_levels(range_levels(macro))), p))
+    rows = with_ema(compression(swing5_levels(swing_levels(range_levels(macro))), p), seeds)
     n = p.trend_extreme_min
 
     def many(c: str, name: str) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.scan import asof_rows
 from ..functions.timefn import local_day, wall_to_utc_us
 from ..profile import DAY_US, Profile
 
@@ -99,18 +100,20 @@ def daily_bars(bars: DataFrame) -> DataFrame:
     )
 
 
-def prior_day_levels(daily: DataFrame, p: Profile) -> DataFrame:
-    """High, low and close of the last day bar stamped before open - cutoff.
-
-    The session's own (partial) bar never counts, whatever its stamp."""
-    w = W.partitionBy("symbol").orderBy("session")
-    cut = F.col("open_us") - p.prior_cutoff_us
-    bar = F.struct("high", "low", "close", "day_us")
-    pick = F.lit(None)
-    for k in (1, 2):
-        lagged = F.lag(bar, k).over(w)
-        pick = F.coalesce(pick, F.when(lagged["day_us"] < cut, lagged))
-    return daily.withColumn("_p", pick).select(
+def prior_day_levels(daily: DataFrame, p: Profile, history: DataFrame | None = None) -> DataFrame:
+    """High, low and close of the last day bar stamped before open - cutoff, however long ago.
+
+    Bars come from ``history`` where it has the day, else from ``daily``.  The session's own
+    (partial) bar never counts, whatever its stamp.  Day bars are a row a day and symbol."""
+    bars = daily.select(*KEY, "high", "low", "close", "day_us")
+    if history is not None:
+        own = bars.join(history.select(*KEY), list(KEY), "left_anti")
+        bars = history.select(*bars.columns).unionByName(own)
+    bar = F.struct("high", "low", "close").alias("_p")
+    cut = F.least(F.col("open_us") - p.prior_cutoff_us, F.col("day_us"))
+    asks = daily.select(*KEY, cut.alias("_cut"))
+    found = asof_rows(asks, bars.select("symbol", "day_us", bar), ["symbol"], "_cut", "day_us", ["_p"], strict=True)
+    return found.select(
         *KEY,
         F.col("_p.high").alias("pdh"),
         F.col("_p.low").alias("pdl"),

@@ -17,13 +17,18 @@ def valid_quotes(quotes: DataFrame) -> DataFrame:
 
 
 def asof_quote(
-    trades: DataFrame, quotes: DataFrame, p: Profile, see_equal_ts: bool = False
+    trades: DataFrame,
+    quotes: DataFrame,
+    p: Profile,
+    see_equal_ts: bool = False,
+    seeds: DataFrame | None = None,
 ) -> DataFrame:
     """Attach the latest valid quote and the previous flow price to every print.
 
     Trades and quotes of one (symbol, session, macro bucket) meet in one task; what
     was known before the bucket arrives as a carry row.  A quote with the print's own
-    timestamp is visible only if ``see_equal_ts``."""
+    timestamp is visible only if ``see_equal_ts``.  The flow price before the first print is
+    ``last_price`` of the key's seeds."""
     t = trades.select(
         *trades.columns,
         F.lit(1 if see_equal_ts else 0).alias("_prio"),
@@ -56,6 +61,7 @@ def asof_quote(
             Running("prev_flow", "last", flow_price, inclusive=False),
         ],
         order_key(F.col("ts_us") * 4 + F.col("_prio"), F.col("seq")),
+        None if seeds is None else seeds.select("symbol", "session", F.col("last_price").alias("prev_flow")),
     )
     quote = F.struct(*[F.col(f"q_{f}").alias(f) for f in QUOTE_FIELDS])
     return seen.filter("_trade").select(
@@ -80,5 +86,7 @@ def with_side(joined: DataFrame) -> DataFrame:
     return joined.withColumn("side", side)
 
 
-def classify_sides(trades: DataFrame, quotes: DataFrame, p: Profile) -> DataFrame:
-    return with_side(asof_quote(trades, quotes, p))
+def classify_sides(
+    trades: DataFrame, quotes: DataFrame, p: Profile, seeds: DataFrame | None = None
+) -> DataFrame:
+    return with_side(asof_quote(trades, quotes, p, seeds=seeds))

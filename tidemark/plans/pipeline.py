@@ -17,7 +17,7 @@ from ..functions.expr import floor_us, order_key
 from ..operators import bars as B
 from ..operators import baseline as base
 from ..operators import context as ctx
-from ..operators import gates, levels, resolve, session, sides, snapshot, sweeps, trend
+from ..operators import gates, levels, resolve, session, sides, snapshot, sweeps, trend, warmup
 from ..operators.ingest import clean
 from ..profile import Profile
 
@@ -26,7 +26,8 @@ KEY = ["symbol", "session"]
 
 @dataclass
 class Tape:
-    """Inputs of a run: raw prints, quotes, the session calendar and a profile."""
+    """Inputs of a run: raw prints, quotes, the session calendar and a profile; with
+    ``warm`` sessions go on from historical bars at the instant their tape starts."""
 
     prints: DataFrame
     quotes: DataFrame
@@ -35,34 +36,75 @@ class Tape:
     market: str = ""
     fear: str = ""
     cut: bool = True
+    warm: warmup.WarmUp | None = None
 
     def stage(self, df: DataFrame, name: str) -> DataFrame:
         return durable(df, name) if self.cut else df
 
+    # ------------------------------------------------------------- warm-up
+
+    @cached_property
+    def past_minutes(self) -> DataFrame:
+        """Historical minute bars of all sessions."""
+        w = self.warm
+        return self.stage(warmup.in_sessions(w.minutes, self.sessions, self.profile, w.zone), "past_minutes")
+
+    @cached_property
+    def seeds(self) -> DataFrame | None:
+        """What each warmed-up (symbol, session) knows before its first print."""
+        w = self.warm
+        if w is None:
+            return None
+        early = self.past_minutes
+        if w.premarket is not None:
+            early = warmup.in_sessions(w.premarket, self.sessions, self.profile, w.zone)
+        return self.stage(warmup.state_seeds(self.past_minutes, early, w.starts, self.profile), "seeds")
+
+    @cached_property
+    def preopen(self) -> DataFrame | None:
+        """Flat units before the open of sessions that start there."""
+        if self.warm is None:
+            return None
+        p = self.profile
+        last = self.seeds.filter("preopen").select(*KEY, F.col("pm_close").alias("price"), "open_us", "close_us")
+        units = min(60, p.premarket_us // p.unit_us)
+        return self.stage(B.preopen_seed(self.micro, last, p, units), "preopen")
+
     # ------------------------------------------------------------- bars and state
 
     @cached_property
     def sided(self) -> DataFrame:
         """Clean prints with quote, previous flow price and side."""
-        out = sides.classify_sides(clean(self.prints), self.quotes, self.profile)
+        out = sides.classify_sides(clean(self.prints), self.quotes, self.profile, self.seeds)
         return self.stage(out, "sided")
 
     @cached_property
     def micro(self) -> DataFrame:
-        return B.micro_bars(self.sided, self.profile)
+        return B.micro_bars(self.sided, self.profile, self.seeds)
 
     @cached_property
     def filled(self) -> DataFrame:
-        out = B.gap_fill(self.micro, self.profile)
-        return self.stage(out, "filled")
+        bars = self.micro if self.warm is None else self.micro.unionByName(self.preopen)
+        return self.stage(B.gap_fill(bars, self.profile), "filled")
 
     @cached_property
     def macro(self) -> DataFrame:
-        return B.macro_bars(self.filled, self.profile)
+        """Macro bars of the tape, and of the warmed-up session before it."""
+        if self.warm is None:
+            return B.macro_bars(self.filled, self.profile)
+        # what stands in for the time before the open is not traded time
+        own = self.filled.join(self.preopen.select(*KEY, "b_us"), [*KEY, "b_us"], "left_anti")
+        live = B.macro_bars(own, self.profile)
+        before = warmup.session_minutes(self.past_minutes, self.warm.starts, self.profile)
+        return self.stage(live.unionByName(before.select(*live.columns)), "macro")
 
     @cached_property
     def baseline(self) -> DataFrame:
-        return base.minute_baseline(self.macro, self.sessions, self.profile)
+        bars = self.macro
+        if self.warm is not None:
+            older = self.past_minutes.join(bars.select(*KEY, "m_us"), [*KEY, "m_us"], "left_anti")
+            bars = bars.unionByName(older.select(*bars.columns))
+        return base.minute_baseline(bars, self.sessions, self.profile)
 
     @cached_property
     def fallback(self) -> DataFrame:
@@ -71,25 +113,46 @@ class Tape:
     @cached_property
     def static(self) -> DataFrame:
         daily = session.daily_bars(self.micro)
+        past = None if self.warm is None else warmup.day_bars(self.warm.days)
         return levels.static_levels(
-            session.prior_day_levels(daily, self.profile),
-            session.premarket_levels(self.filled, self.profile),
+            session.prior_day_levels(daily, self.profile, past), self.premarket
+        )
+
+    @cached_property
+    def premarket(self) -> DataFrame:
+        if self.warm is None:
+            return session.premarket_levels(self.filled, self.profile)
+        own = self.filled.join(self.preopen.select(*KEY, "b_us"), [*KEY, "b_us"], "left_anti")
+        live = session.premarket_levels(own, self.profile)
+        past = self.seeds.filter("pm_close is not null").select(*live.columns)
+        # the tape comes after the bars, so its close is the later one
+        both = past.withColumn("_turn", F.lit(0)).unionByName(live.withColumn("_turn", F.lit(1)))
+        return both.groupBy(*KEY).agg(
+            F.max("pmh").alias("pmh"),
+            F.min("pml").alias("pml"),
+            F.max_by("pm_close", "_turn").alias("pm_close"),
         )
 
     @cached_property
     def opening(self) -> DataFrame:
-        return session.opening_range(self.sided, self.profile)
+        p = self.profile
+        live = session.opening_range(self.sided, p)
+        if self.warm is None:
+            return live
+        end = F.col("open_us") + p.opening_range_macros * p.macro_us
+        known = self.seeds.filter("or_high is not null").select(*KEY, "or_high", "or_low", end.alias("or_eff_us"))
+        return live.join(known, KEY, "left_anti").unionByName(known)
 
     @cached_property
     def structure(self) -> DataFrame:
-        out = levels.macro_structure(self.macro, self.profile)
+        out = levels.macro_structure(self.macro, self.profile, self.seeds)
         return self.stage(out, "structure")
 
     @cached_property
     def bar_state(self) -> DataFrame:
         """Everything known at the start of each bucket, one row per filled bar."""
         p = self.profile
-        rows = B.with_bar_windows(self.filled)
+        rows = B.with_bar_windows(self.filled, seeds=self.seeds)
         rows = levels.bucket_state(rows, self.structure)
         rows = rows.withColumn("bidx", base.macro_idx(F.col("b_us"), F.col("open_us"), p))
         rows = base.with_baseline(rows, self.baseline, self.fallback, "bidx").drop("bidx")
@@ -111,7 +174,8 @@ class Tape:
     def vwap0(self) -> DataFrame:
         """VWAP at the first price-forming print of each bucket."""
         p = self.profile
-        w = B.print_windows(self.sided, B.with_bar_windows(self.filled, (), (), ()), p, ())
+        bars = B.with_bar_windows(self.filled, (), (), (), self.seeds)
+        w = B.print_windows(self.sided, bars, p, ())
         return (
             w.filter("updates_last")
             .groupBy(*KEY, "b_us")

@@ -159,6 +159,42 @@ def events_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# A warmed-up tape starts so many macro bars after the open, by session number.
+START_MACROS = (0, 2, 10)
+
+
+def events_starts(sessions: DataFrame, p: Profile = EVENTS_PROFILE) -> DataFrame:
+    late = F.element_at(F.array(*[F.lit(n * p.macro_us) for n in START_MACROS]), (F.col("session") % len(START_MACROS) + 1).cast("int"))
+    return sessions.select("session", (F.col("open_us") + late).alias("start_us"))
+
+
+def events_hist(spark: SparkSession, sf_dir: str, width_us: int) -> DataFrame:
+    """Historical bars of the given width over the events, as a vendor would send them."""
+    e = table(spark, sf_dir, "events").filter("value > 0").withColumn("at", ntz_us(F.col("ts")))
+    size = F.get_json_object("props", "$.k").cast("bigint")
+    rows = e.select(
+        F.col("event_type").alias("symbol"),
+        F.expr(f"at div {width_us} * {width_us}").alias("ts_us"),
+        "at",
+        F.round(100 + F.col("value") / 100, 4).alias("price"),
+        size.alias("size"),
+    )
+    return (
+        rows.groupBy("symbol", "ts_us")
+        .agg(
+            F.min_by("price", "at").alias("open"),
+            F.max("price").alias("high"),
+            F.min("price").alias("low"),
+            F.max_by("price", "at").alias("close"),
+            F.sum("size").alias("volume"),
+            F.count("*").alias("trade_count"),
+            F.sum(F.col("price") * F.col("size")).alias("_worth"),
+        )
+        .withColumn("vwap", F.when(F.col("volume") > 0, F.col("_worth") / F.col("volume")).otherwise(0.0))
+        .drop("_worth")
+    )
+
+
 # Day-granular tape over line items: a unit is a day, a macro bar thirty days, a
 # session one calendar year.
 LINEITEM_PROFILE: Profile = replace(
