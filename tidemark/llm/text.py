@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -109,20 +110,19 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-@lru_cache(maxsize=8)
-def _base(seed: int) -> tuple[int, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    return int(rng.integers(1 << 62)) * 8 + 5, rng.integers(0, 1 << 64, 256, U)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+@lru_cache(maxsize=8)
+def _base(seed: int) -> int:
+    return int(np.random.default_rng(seed).integers(1 << 62)) * 8 + 5
 
 
 def _powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the seed's odd base and of its inverse, modulo 2^64."""
     if seed not in _POWERS or len(_POWERS[seed][0]) < n:
-        base = _base(seed)[0] % (1 << 64)
-        size = max(n, SLICE_BYTES + 1)
+        base = _base(seed) % (1 << 64)
+        size = max(n, SLICE_BYTES // 4)
         pair = []
         for b in (base, pow(base, -1, 1 << 64)):
             p = np.full(size, b, U)
@@ -133,6 +133,10 @@ def _powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _spans(values: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """Polynomial hashes of short spans of values that are hashes themselves.
+
+    Only for spans of fewer than a thousand values: longer ones can be built so that they
+    collide under every odd base."""
     up, down = _powers(seed, len(values) + 1)
     prefix = np.zeros(len(values) + 1, U)
     np.cumsum(values * up[: len(values)], out=prefix[1:])
@@ -140,10 +144,36 @@ def _spans(values: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) ->
     return mix(h + (end - start).astype(U) * U(0x9E3779B97F4A7C15))
 
 
+#: Longest span, in bytes, that is hashed eight bytes a step over all spans at once.
+STEPPED = 64
+
+
 def span_hash(data, start, end, seed: int = 1, table: np.ndarray | None = None) -> np.ndarray:
-    """64-bit hashes of byte spans; ``table`` maps bytes first (lower-casing, say)."""
-    t = _base(seed)[1]
-    return _spans((t if table is None else t[table])[data], start, end, seed)
+    """64-bit hashes of byte spans; ``table`` maps bytes first (lower-casing, say).
+
+    Each step mixes the next eight bytes into the state of every span that has them, so equal
+    hashes need equal states by chance; longer spans take a keyed library hash each."""
+    if table is not None:
+        data = table[data]
+    n = (end - start).astype(np.int64)
+    h = mix(n.astype(U) * U(0x9E3779B97F4A7C15) + U(_base(seed) % (1 << 64)))
+    short = np.flatnonzero((n > 0) & (n <= STEPPED))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    at, left = start[short].astype(np.int64), n[short]
+    while len(short):
+        lane = eight[at]
+        tail = left < 8
+        lane[tail] &= (U(1) << (left[tail].astype(U) * U(8))) - U(1)
+        h[short] = mix(h[short] ^ lane)
+        more = left > 8
+        short, at, left = short[more], at[more] + 8, left[more] - 8
+    long = np.flatnonzero(n > STEPPED)
+    if len(long):
+        raw, key = memoryview(np.ascontiguousarray(data)), seed.to_bytes(8, "little")
+        digests = [blake2b(raw[i:j], digest_size=8, key=key).digest() for i, j in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+        h[long] = np.frombuffer(b"".join(digests), "<u8")
+    return h
 
 
 def window_hash(values: np.ndarray, at: np.ndarray, width: int, seed: int = 2) -> np.ndarray:
@@ -153,10 +183,6 @@ def window_hash(values: np.ndarray, at: np.ndarray, width: int, seed: int = 2) -
     return _spans(values, at, at + width, seed)
 
 
-def unsigned(column) -> np.ndarray:
-    return np.asarray(column).view(U) if np.asarray(column).dtype == np.int64 else np.asarray(column, U)
-
-
 def covered(at: np.ndarray, width: int, n: int) -> np.ndarray:
     """True for each of ``n`` places inside one of the windows [at, at + width)."""
     step = np.zeros(n + 1, np.int64)
