@@ -128,7 +128,7 @@ def plain_audit(rows):
 
 def test_audit(spark):
     # ties: many terms of equal counts, more than the ranks hold, in several sources
-    tied = " ".join(f"t{i}é" for i in range(300))
+    tied = " ".join(f"t{chr(97 + i // 26)}{chr(97 + i % 26)}é" for i in range(300))
     rows = ROWS + [(100 + i, tied + " extra" * i, "ae"[i % 2], "en") for i in range(5)] + [(200 + i, "common " * 2000, "z", "en") for i in range(3)] + [(300, "only once", "lone", "fr")]
     got = divergence.audit(frame(spark, rows))
     assert got.columns == ["lang", "source", "part", "item", "value", "rank"]
