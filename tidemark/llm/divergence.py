@@ -179,10 +179,13 @@ class PairSums:
         self.rows, self.columns, self.values, self.open, self.term = [], [], [], 0, None
 
     def head(self, source: str, p0: int) -> None:
-        self.names.append(source)
-        self.p0.append(p0)
+        if self.sums is None:  # every range of a language names the same sources
+            self.names.append(source)
+            self.p0.append(p0)
 
     def ready(self) -> None:
+        if self.sums is not None:
+            return
         n = len(self.names)
         self.number = {x: i for i, x in enumerate(self.names)}
         self.zero = np.asarray(self.p0, np.int64)
@@ -190,8 +193,7 @@ class PairSums:
         self.most = max(1, CELLS // max(n, 1))
 
     def add(self, term: str, source: str, p: int) -> None:
-        if self.sums is None:
-            self.ready()
+        self.ready()
         if term != self.term:
             if self.open == self.most:
                 self.flush()
@@ -209,8 +211,7 @@ class PairSums:
         self.rows, self.columns, self.values, self.open = [], [], [], 0
 
     def result(self) -> pa.RecordBatch:
-        if self.sums is None:
-            self.ready()
+        self.ready()
         if self.open:
             self.flush()
         n = len(self.names)
@@ -221,14 +222,17 @@ class PairSums:
 
 
 def add_pairs(batches):
-    """Streams a sorted partition, one (language, range of terms) after the other."""
-    key, held = None, None
+    """Streams a sorted partition: the ranges of terms of one language after the other's."""
+    held = bucket_of = None
     for batch in batches:
         for lang, bucket, term, source, p in zip(*(batch.column(c).to_pylist() for c in ("lang", "bucket", "term", "source", "p")), strict=True):
-            if (lang, bucket) != key:
+            if held is None or lang != held.lang:
                 if held is not None:
                     yield held.result()
-                key, held = (lang, bucket), PairSums(lang)
+                held, bucket_of = PairSums(lang), bucket
+            if bucket != bucket_of:
+                held.ready()
+                bucket_of = bucket
             if term is None:
                 held.head(source, p)
             else:
