@@ -127,7 +127,7 @@ def test_arbitration_matches_slow_fold(tape, scope):
 def test_busy_time_hides_rejections(tape):
     rows = tape.stage(A.finished(tape), "finished")
     sigs = A.signals(tape, rows)
-    left = A.effective_rejections(tape, sigs).agg(F.sum("rejections")).first()[0]
+    left = A.effective_rejections(tape, rows, sigs).agg(F.sum("rejections")).first()[0]
     every = tape.evaluated.filter("gate_reason <> 'untriggered'").count()
     assert 0 < left < every
 

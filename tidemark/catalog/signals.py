@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..functions.expr import ratio, r
 from ..functions.timefn import local_clock, us_ntz
-from ..operators import arbiter, learn, metrics, outbox, quality, store
+from ..operators import arbiter, decide, gates, learn, metrics, outbox, quality, store
 from ..plans import arbitration as A
 from ..profile import SECOND_US
 from ..sources import facts
@@ -34,7 +36,7 @@ FROM contend c LEFT JOIN resolved2 v USING ({_ID})
 LEFT JOIN (SELECT * FROM outcome2 WHERE risk > 0) o USING ({_ID})""")
 
 
-def fold_blocks(name: str, group: str) -> None:
+def fold_blocks(name: str, group: str, hour: int = 30, burst: int = 3) -> None:
     """A sequential fold as a recursive query: one candidate of every group per step.
 
     No session gathers enough labels here for the adaptive gate to become active, so the
@@ -56,14 +58,16 @@ FROM (SELECT *, ts_us >= coalesce(s.free, -1) AND NOT coalesce(s.dir = direction
       AND abs(level_price - s.price) / s.price * 1e4 < @re_arm_bps@, false)
     AND (NOT is_trend OR coalesce(s.tr, 0) < 2) AND coalesce(s.n, 0) < 12
     AND coalesce(ts_us - s.alert >= 3 * $U, true)
-    AND len(list_filter(hist, lambda t: ts_us - t <= 18 * $U)) < 30
-    AND len(list_filter(hist, lambda t: ts_us - t <= 3 * $U)) < 3 AS ok
+    AND len(list_filter(hist, lambda t: ts_us - t <= 18 * $U)) < {hour}
+    AND len(list_filter(hist, lambda t: ts_us - t <= 3 * $U)) < {burst} AS ok
   FROM (SELECT c.*, f.st, f.hist, f.st[c.symbol] AS s FROM {name} f
     JOIN {name}_line c ON c.grp = f.grp AND c.pos = f.pos + 1))""")
 
 
 fold_blocks("fold", "session::VARCHAR")
 fold_blocks("fold_sym", "session::VARCHAR || symbol")
+fold_blocks("fold_tight", "session::VARCHAR", hour=4, burst=1)
+TIGHT = replace(P, max_alerts_hour_total=4, max_alerts_burst=1)
 _SID = "symbol || '-' || (ts_us // 1000) || CASE WHEN direction > 0 THEN '-U' ELSE '-D' END"
 
 
@@ -91,19 +95,49 @@ def signals_per_symbol(spark, sf_dir):
     return out.select("signal_id", "symbol", "session", "ts_us", "direction", "verdict")
 
 
-cte("busy", "fold", """
-SELECT symbol, session, ts_us AS a, coalesce(least(resolution_us + CASE WHEN resolution = 'CONFIRMED'
-    THEN 12 * $U ELSE 6 * $U END, close_us), close_us) AS b
-FROM fold JOIN fold_line USING (grp, pos) WHERE ok""")
+@query("signals_budget", "fold_tight", f"""
+SELECT {_SID} AS signal_id, symbol, session, ts_us, direction, 'SIGNAL' AS verdict
+FROM fold_tight JOIN fold_tight_line USING (grp, pos) WHERE ok""")
+def signals_budget(spark, sf_dir):
+    """A shared budget so tight that it decides in many sessions."""
+    t, rows, _ = _finished(spark, sf_dir)
+    out = decide.arbitrate(rows, TIGHT, verdicts=False, stage=t.stage)
+    sid = gates.signal_id(F.col("symbol"), F.col("ts_us"), F.col("direction"))
+    return out.select(sid.alias("signal_id"), "symbol", "session", "ts_us", "direction", "verdict")
 
 
-@query("rejections_effective", "gated busy", """
-SELECT symbol, gate_reason AS reason, count(*) AS rejections FROM gated g
-WHERE gate_reason <> 'untriggered' AND NOT EXISTS (SELECT 1 FROM busy x WHERE x.symbol = g.symbol
-  AND x.session = g.session AND g.ts_us > x.a AND g.ts_us < x.b) GROUP BY ALL""")
+cte("lastsig", "gated fold", """
+SELECT symbol, session, ts_us, seq, pref, direction, level_price, gate_reason, NULL::BIGINT AS free,
+  NULL::DOUBLE AS a_price, NULL::INTEGER AS a_dir FROM gated
+WHERE gate_reason <> 'untriggered'
+UNION ALL
+SELECT symbol, session, ts_us, seq, pref, NULL, NULL, NULL, coalesce(resolution_us
+    + CASE WHEN resolution = 'CONFIRMED' THEN 12 * $U ELSE 6 * $U END, 9000000000000000000::BIGINT),
+  level_price, direction FROM fold JOIN fold_line USING (grp, pos) WHERE ok""")
+cte("caps", "fold", """
+SELECT c.symbol, CASE WHEN is_trend AND coalesce(s.tr, 0) >= 2 THEN 'trend_day_cap'
+    WHEN coalesce(s.n, 0) >= 12 THEN 'symbol_day_cap'
+    WHEN coalesce(c.ts_us - s.alert >= 3 * $U, true) AND NOT f.ok THEN 'global_hour_cap' END AS reason
+FROM fold_line c JOIN (SELECT grp, pos + 1 AS pos, st FROM fold) b USING (grp, pos)
+JOIN (SELECT grp, pos, ok FROM fold) f USING (grp, pos), LATERAL (SELECT b.st[c.symbol] AS s)
+WHERE c.ts_us >= coalesce(s.free, -1) AND NOT coalesce(s.dir = c.direction
+  AND abs(c.level_price - s.price) / s.price * 1e4 < @re_arm_bps@, false)""")
+
+
+@query("rejections_effective", "lastsig caps", """
+SELECT symbol, reason, count(*) AS rejections FROM (
+  SELECT symbol, gate_reason AS reason FROM (
+    SELECT *, last_value(free IGNORE NULLS) OVER w AS until, last_value(a_price IGNORE NULLS) OVER w AS origin,
+      last_value(a_dir IGNORE NULLS) OVER w AS way FROM lastsig
+    WINDOW w AS (PARTITION BY symbol, session ORDER BY ts_us, seq, pref
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+  WHERE gate_reason IS NOT NULL AND ts_us >= coalesce(until, -1)
+    AND NOT coalesce(way = direction AND abs(level_price - origin) / origin * 1e4 < @re_arm_bps@, false)
+  UNION ALL SELECT symbol, reason FROM caps WHERE reason IS NOT NULL)
+GROUP BY ALL""")
 def rejections_effective(spark, sf_dir):
-    t, _, sigs = _finished(spark, sf_dir)
-    return A.effective_rejections(t, sigs)
+    t, rows, sigs = _finished(spark, sf_dir)
+    return A.effective_rejections(t, rows, sigs)
 
 
 # ------------------------------------------------------------------ facts over orders

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import clamp, floor_us
-from ..operators import arbiter, gates, resolve
+from ..functions.expr import clamp
+from ..operators import arbiter, decide, gates, resolve
 from ..operators.metrics import tod_bucket
 from .pipeline import KEY, Tape
 
@@ -64,8 +64,14 @@ def finished(t: Tape, run_id: str = "run") -> DataFrame:
 
 
 def signals(t: Tape, rows: DataFrame, **options) -> DataFrame:
-    """Accepted rows with their signal id; ``options`` go to :func:`arbiter.arbitrate`."""
-    verdict = arbiter.arbitrate(rows, t.profile, **options)
+    """Accepted rows with their signal id; ``options`` go to the arbitration.
+
+    Sessions are decided symbol by symbol; only those whose symbols share more than time are
+    folded in sequence (see ``operators.decide``)."""
+    if options.pop("scope", "session") == "symbol":
+        verdict = arbiter.arbitrate(rows, t.profile, scope="symbol", **options)
+    else:
+        verdict = decide.arbitrate(rows, t.profile, verdicts=False, stage=t.stage, **options)
     won = verdict.filter(F.col("verdict").isin("SIGNAL", "SUPPRESSED")).select(
         "run_id", *ID, "verdict", "vol_mult", "score_mult"
     )
@@ -75,29 +81,30 @@ def signals(t: Tape, rows: DataFrame, **options) -> DataFrame:
     )
 
 
-def busy_intervals(t: Tape, sigs: DataFrame) -> DataFrame:
-    """Time in which a symbol does not look at candidates, spread over macro buckets."""
+def looked_at(t: Tape, rows: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Rows (symbol, session, ts_us, seq, pref, direction, level_price, ...) that the latest signal
+    before them did not make the symbol ignore: no cooldown, no re-arming on the same structure."""
     p = t.profile
-    c = F.col
-    wait = (
-        F.when(c("suppressed"), p.us(p.cooldown_suppressed_s))
-        .when(c("resolution") == "CONFIRMED", p.us(p.cooldown_confirmed_s))
-        .otherwise(p.us(p.cooldown_failed_s))
-    )
-    end = F.coalesce(F.least(c("resolution_us") + wait, c("close_us")), c("close_us"))
-    rows = sigs.select(*KEY, c("ts_us").alias("from_us"), end.alias("to_us"))
-    m = p.macro_us
-    seq = F.sequence(floor_us(c("from_us"), m), floor_us(c("to_us"), m), F.lit(m))
-    return rows.filter("to_us >= from_us").withColumn("bucket_us", F.explode(seq))
-
-
-def effective_rejections(t: Tape, sigs: DataFrame) -> DataFrame:
-    """Exact rejection counts per symbol and reason."""
-    rows = t.evaluated.filter("gate_reason is not null and gate_reason <> 'untriggered'")
-    rows = rows.select(*ID, "gate_reason").withColumn(
-        "bucket_us", floor_us(F.col("ts_us"), t.profile.macro_us)
-    )
-    left = arbiter.effective_rejections(rows, busy_intervals(t, sigs))
-    return left.groupBy("symbol", F.col("gate_reason").alias("reason")).agg(
-        F.count("*").alias("rejections")
-    )
+    run = F.lit("run").alias("run_id")
+    won = sigs.select(
+        run, *ID, F.when(F.col("level_price") > 0, F.col("direction")).alias("a_dir"),
+        F.when(F.col("level_price") > 0, F.col("level_price")).alias("a_level"),
+        decide.free_us(p, F.col("suppressed")).alias("a_deaf_us"),
+        *[F.lit(None).cast("long").alias(c) for c in ("a_gap_us", "a_alerts", "a_trends")],
+    )
+    seen = decide.after_latest(rows.select(run, "*"), won, p)
+    return seen.filter(decide.ignored(p).isNull()).select(*rows.columns)
+
+
+def effective_rejections(t: Tape, rows: DataFrame, sigs: DataFrame, **options) -> DataFrame:
+    """Rejection counts per symbol and reason, of candidates that were looked at only.
+
+    Gates count by the rows that failed them, caps by the decisions themselves (``rows`` is the
+    arbitration's input, ``sigs`` its result).  Exact while multipliers are one; where they have
+    moved, the gates count by their fixed limits."""
+    failed = t.evaluated.filter("gate_reason is not null and gate_reason <> 'untriggered'")
+    failed = looked_at(t, failed.select(*ID, "direction", "level_price", "gate_reason"), sigs)
+    told = decide.arbitrate(rows, t.profile, stage=t.stage, **options)
+    capped = told.filter(F.col("verdict").isin("trend_day_cap", "symbol_day_cap", "global_hour_cap"))
+    both = failed.select("symbol", F.col("gate_reason").alias("reason")).union(capped.select("symbol", "verdict"))
+    return both.groupBy("symbol", "reason").agg(F.count("*").alias("rejections"))
