@@ -194,20 +194,43 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got.select(*cols).exceptAll(want.select(*cols)).count() == 0
     assert want.select(*cols).exceptAll(got.select(*cols)).count() == 0
 
-    stream = spark.readStream.schema(got.schema).parquet(f"{out}/sided")
-    agg = live.stream_bars(stream, LOOSE, "2 seconds")
-    query = (
-        agg.writeStream.format("parquet").option("path", str(tmp_path / "bars"))
-        .option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    done = B.finish_bars(spark.read.schema(agg.schema).parquet(str(tmp_path / "bars")))
+    stream = spark.readStream.schema(got.schema).option("maxFilesPerTrigger", 2).parquet(f"{out}/sided")
+    live.bars_stream(stream, str(tmp_path / "b"), str(tmp_path / "cp2"), LOOSE).awaitTermination()
+    done = live.bar_table(spark, str(tmp_path / "b"))
     batch = B.micro_bars(want, LOOSE)
     keep = ["symbol", "b_us", "open", "high", "low", "close", "vol", "buy_vol", "sell_vol", "n"]
     assert done.count() > 100
     assert done.select(*keep).exceptAll(batch.select(*keep)).count() == 0
 
 
+def test_late_prints_are_counted(spark, tmp_path):
+    """Prints that arrive long after their bucket closed: the stream's bars are the batch's, and
+    together they hold every print's volume."""
+    p, q, _ = make(spark, seed=4, seconds=300)
+    lag = F.when(F.col("seq") % 11 == 0, 45 * SEC).when(F.col("seq") % 3 == 0, 2 * SEC).otherwise(0)
+    p = p.withColumn("arr_us", F.col("ts_us") + lag)
+    tape = Tape(p, q.limit(0), None, LOOSE, late=True)
+    rows, want = tape.sided, tape.micro
+    src = str(tmp_path / "in")
+    order = [T0 + k * 60 * SEC for k in range(7)]
+    for lo, hi in zip(order, order[1:], strict=False):
+        part = rows.filter((F.col("arr_us") >= lo) & (F.col("arr_us") < hi)).drop("quote")
+        part.coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(rows.drop("quote").schema).option("maxFilesPerTrigger", 1).parquet(src)
+    query = live.bars_stream(stream, str(tmp_path / "b"), str(tmp_path / "cp"), LOOSE)
+    query.awaitTermination()
+    last = max(int(f.name.split("=")[1]) for f in (tmp_path / "b" / "open").iterdir() if "=" in f.name)
+    assert last >= 4
+    got = live.bar_table(spark, str(tmp_path / "b"), last)
+    keep = ["symbol", "b_us", "open", "high", "low", "close", "vol", "buy_vol", "sell_vol", "n"]
+    assert got.select(*keep).exceptAll(want.select(*keep)).count() == 0 and got.count() == want.count() > 100
+    total = rows.agg(F.sum("size")).first()[0]
+    assert got.agg(F.sum("vol")).first()[0] == total
+    assert rows.filter("not updates_last and seq % 11 = 0").count() > 10
+    own = B.micro_bars(rows, LOOSE)
+    assert own.select("symbol", "b_us", "vol").exceptAll(got.select("symbol", "b_us", "vol")).count() > 10
+
+
 def test_hot_symbol_is_split(spark):
     """The print-level exchange is keyed by time chunks, not by symbol alone."""
     p, q, _ = make(spark, seconds=10)

@@ -12,6 +12,7 @@ from ..operators import context as ctx
 from ..operators import ingest as I
 from ..operators import metrics
 from ..operators import session as S
+from ..plans.pipeline import Tape
 from ..operators import snapshot as snap
 from ..sources import views as V
 from .base import P, cte, query, tape
@@ -71,6 +72,23 @@ def rebucket_late(spark, sf_dir):
     return I.rebucket_late(I.clean(V.events_prints(spark, sf_dir)), P).select("seq", "ts_us", "b_us")
 
 
+@query("late_bars", "trades", """
+SELECT symbol, session, b_us, CASE WHEN ul0 THEN p0 ELSE coalesce(last_value(lp IGNORE NULLS) OVER w, p0) END AS open,
+  coalesce(lp, CASE WHEN ul0 THEN p0 ELSE coalesce(last_value(lp IGNORE NULLS) OVER w, p0) END) AS close, vol, n
+FROM (SELECT symbol, session, b_us, first(price ORDER BY arr_us, seq) AS p0, first(ul AND NOT late ORDER BY arr_us, seq) AS ul0,
+    last(price ORDER BY arr_us, seq) FILTER (ul AND NOT late) AS lp, CAST(sum(size) AS BIGINT) AS vol,
+    count(*) FILTER (fl AND NOT late) AS n
+  FROM (SELECT *, coalesce(ts_us < max(ts_us) OVER (PARTITION BY symbol ORDER BY arr_us, seq
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 6 * $U, false) AS late,
+      max(ts_us // $U * $U) OVER (PARTITION BY symbol, session ORDER BY arr_us, seq
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS b_us FROM trades) GROUP BY ALL)
+WINDOW w AS (PARTITION BY symbol, session ORDER BY b_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def late_bars(spark, sf_dir):
+    """Bars of the tape as it arrived."""
+    t = Tape(V.events_prints(spark, sf_dir), V.events_quotes(spark, sf_dir), V.events_sessions(spark, sf_dir), P, cut=False, late=True)
+    return t.micro.select("symbol", "session", "b_us", "open", "close", "vol", "n")
+
+
 @query("gap_fill", "filled", f"SELECT {BAR_COLS}, round(dollar, 4) AS dollar, filled FROM filled")
 def gap_fill(spark, sf_dir):
     df = tape(spark, sf_dir).filled

@@ -25,9 +25,9 @@ def _in_session() -> Column:
     return F.col("ts_us") >= F.col("open_us")
 
 
-def bar_aggregates() -> list[Column]:
-    """Aggregates of one bucket's prints; usable in batch and in streaming grouping."""
-    order = order_key(F.col("ts_us"), F.col("seq"))
+def bar_aggregates(at: str = "ts_us") -> list[Column]:
+    """Aggregates of one bucket's prints, which go by ``at`` (event or arrival time), then seq."""
+    order = order_key(F.col(at), F.col("seq"))
     forming = F.when(F.col("updates_last"), F.col("price"))
     flow = F.col("flow_eligible")
     size, worth = F.col("size"), F.col("price") * F.col("size")
@@ -97,6 +97,11 @@ def micro_bars(prints: DataFrame, p: Profile, seeds: DataFrame | None = None) ->
     return finish_bars(rows.groupBy(*KEY, "b_us").agg(*bar_aggregates()), seeds)
 
 
+def arrival_bars(prints: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+    """Micro bars of prints that know their bucket (``ingest.rebucket_late``), by arrival."""
+    return finish_bars(prints.groupBy(*KEY, "b_us").agg(*bar_aggregates("arr_us")), seeds)
+
+
 def _flat(price: Column, b_us: Column, source: DataFrame) -> list[Column]:
     """Columns of a flat zero-volume bar, in the schema of ``source``."""
     zero = {"vol", "buy_vol", "sell_vol", "n", "s_v"}

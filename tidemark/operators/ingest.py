@@ -64,8 +64,10 @@ def late_demote(prints: DataFrame, p: Profile) -> DataFrame:
     )
 
 
-def rebucket_late(prints: DataFrame, p: Profile) -> DataFrame:
-    """Bucket each print on arrival: a finalized bucket is never reopened."""
+def rebucket_late(prints: DataFrame, p: Profile, newest: DataFrame | None = None) -> DataFrame:
+    """Bucket each print on arrival: a finalized bucket is never reopened.
+
+    ``newest`` (symbol, session, b_us) are the buckets that earlier prints have reached."""
     rows = prints.withColumn("own_b_us", floor_us(F.col("ts_us"), p.unit_us)).withColumn(
         "_chunk", floor_us(F.col("arr_us"), p.macro_us)
     )
@@ -75,6 +77,7 @@ def rebucket_late(prints: DataFrame, p: Profile) -> DataFrame:
         "_chunk",
         ["arr_us", "seq"],
         [Running("b_us", "max", F.col("own_b_us"))],
+        initial=newest,
     ).drop("_chunk")
 
 

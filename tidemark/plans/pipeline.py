@@ -18,7 +18,7 @@ from ..operators import bars as B
 from ..operators import baseline as base
 from ..operators import context as ctx
 from ..operators import gates, levels, resolve, session, sides, snapshot, sweeps, trend, warmup
-from ..operators.ingest import clean
+from ..operators.ingest import clean, late_demote, rebucket_late
 from ..profile import Profile
 
 KEY = ["symbol", "session"]
@@ -27,7 +27,9 @@ KEY = ["symbol", "session"]
 @dataclass
 class Tape:
     """Inputs of a run: raw prints, quotes, the session calendar and a profile; with
-    ``warm`` sessions go on from historical bars at the instant their tape starts."""
+    ``warm`` sessions go on from historical bars at the instant their tape starts.  With
+    ``late`` the tape is taken as it arrived: late prints keep their volume only, and count in
+    the bucket that was open when they came, as in the stream."""
 
     prints: DataFrame
     quotes: DataFrame
@@ -37,6 +39,7 @@ class Tape:
     fear: str = ""
     cut: bool = True
     warm: warmup.WarmUp | None = None
+    late: bool = False
 
     def stage(self, df: DataFrame, name: str) -> DataFrame:
         return durable(df, name) if self.cut else df
@@ -75,11 +78,16 @@ class Tape:
     @cached_property
     def sided(self) -> DataFrame:
         """Clean prints with quote, previous flow price and side."""
-        out = sides.classify_sides(clean(self.prints), self.quotes, self.profile, self.seeds)
+        rows = clean(self.prints)
+        if self.late:
+            rows = late_demote(rows, self.profile).drop("watermark_us", "late")
+        out = sides.classify_sides(rows, self.quotes, self.profile, self.seeds)
         return self.stage(out, "sided")
 
     @cached_property
     def micro(self) -> DataFrame:
+        if self.late:
+            return B.arrival_bars(rebucket_late(self.sided, self.profile), self.seeds)
         return B.micro_bars(self.sided, self.profile, self.seeds)
 
     @cached_property

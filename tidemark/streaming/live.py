@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import bars, resolve, sides
-from ..operators.ingest import clean
+from ..operators.ingest import clean, late_demote, rebucket_late
 from ..profile import Profile
 from ..sources import wire
 
@@ -39,8 +39,6 @@ def _carry(spark: SparkSession, out: str, batch_id: int) -> DataFrame:
 
 def demote_with_carry(prints: DataFrame, carry: DataFrame, p: Profile) -> DataFrame:
     """Late rows against the watermark of earlier batches (within a batch: arrival order)."""
-    from ..operators.ingest import late_demote
-
     seen = late_demote(prints, p).drop("late")
     before = carry.groupBy("symbol").agg(F.max("watermark_us").alias("_w"))
     rows = seen.join(before, "symbol", "left")
@@ -127,15 +125,59 @@ def sides_stream(events: DataFrame, out: str, checkpoint: str, p: Profile) -> St
     )
 
 
-def stream_bars(sided: DataFrame, p: Profile, delay: str) -> DataFrame:
-    """Bar aggregates of closed buckets (append mode): built-in windows and watermark.
+OPEN_PRINTS = (
+    "symbol", "session", "b_us", "ts_us", "seq", "arr_us", "price", "size", "side", "updates_last",
+    "updates_volume", "flow_eligible", "open_us", "close_us",
+)
+
+
+def bars_batch(sided: DataFrame, still_open: DataFrame, p: Profile) -> tuple[DataFrame, DataFrame]:
+    """(prints of buckets that closed, prints of the open bucket of each symbol).
+
+    A print joins the newest bucket its symbol had reached when it arrived, so a late one is
+    counted there and none is dropped.  ``still_open`` are the prints of the open buckets so
+    far: a unit of time a symbol, however long the stream runs."""
+    newest = still_open.groupBy(*KEY).agg(F.max("b_us").alias("b_us"))
+    rows = rebucket_late(sided, p, newest).select(*OPEN_PRINTS).unionByName(still_open)
+    reached = rows.groupBy(*KEY).agg(F.max("b_us").alias("_newest"))
+    rows = rows.join(reached, KEY)
+    closed, left = F.col("b_us") < F.col("_newest"), F.col("b_us") == F.col("_newest")
+    return rows.filter(closed).drop("_newest"), rows.filter(left).drop("_newest")
+
+
+def bars_stream(sided: DataFrame, out: str, checkpoint: str, p: Profile) -> StreamingQuery:
+    """Bars of an arriving sided tape, each written once, when its bucket closes.
+
+    No watermark decides what is too late: see :func:`bars_batch`.  Read the bars with
+    :func:`bar_table`."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        kind = batch.select(*[c for c in OPEN_PRINTS if c != "b_us"], F.lit(0).cast("long").alias("b_us"))
+        schema = kind.select(*OPEN_PRINTS).schema
+        before = spark.createDataFrame([], schema)
+        if batch_id:
+            before = spark.read.schema(schema).parquet(f"{out}/open/batch={batch_id - 1}")
+        closed, left = bars_batch(kind.drop("b_us"), before, p)
+        aggregates = closed.groupBy(*KEY, "b_us").agg(*bars.bar_aggregates("arr_us"))
+        aggregates.write.mode("overwrite").parquet(f"{out}/bars/batch={batch_id}")
+        left.write.mode("overwrite").parquet(f"{out}/open/batch={batch_id}")
+
+    return (
+        sided.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
 
-    Grouping by (symbol, session, bucket) is combined map-side first.  Read the sink
-    through :func:`bars.finish_bars` to get opens from earlier closes."""
-    timed = sided.withColumn("ts", F.timestamp_micros("ts_us")).withWatermark("ts", delay)
-    width = F.window("ts", f"{p.unit_us} microseconds")
-    agg = timed.groupBy(*KEY, width.alias("w")).agg(*bars.bar_aggregates())
-    return agg.withColumn("b_us", F.unix_micros("w.start")).drop("w")
+def bar_table(spark: SparkSession, out: str, last_batch: int | None = None) -> DataFrame:
+    """The bars written so far; with ``last_batch``, also those still open after it."""
+    closed = spark.read.parquet(f"{out}/bars").drop("batch")
+    if last_batch is not None:
+        left = spark.read.parquet(f"{out}/open/batch={last_batch}")
+        closed = closed.unionByName(left.groupBy(*KEY, "b_us").agg(*bars.bar_aggregates("arr_us")))
+    return bars.finish_bars(closed)
 
 
 def due_labels(signals: DataFrame, labeled: DataFrame, filled: DataFrame, p: Profile) -> DataFrame:
