@@ -161,6 +161,36 @@ def _label(spark, path, direction=1, alert=100.02, inv=99.9):
     return resolve.label_outcomes(cand, bars, p).first()
 
 
+def test_deadlines_in_silence(spark):
+    """Before a hole of twenty minutes, and before a symbol's last print, every candidate whose session
+    outlives its deadline has a verdict, the one it would get with a bar for every second."""
+    p, q, s = make(spark, seed=2, seconds=900)
+    hole = (F.col("ts_us") < T0 + 400 * SEC) | (F.col("ts_us") >= T0 + 1600 * SEC)
+    late = F.when(F.col("ts_us") >= T0 + 400 * SEC, 1200 * SEC).otherwise(0)
+    p, q = (df.withColumn("ts_us", F.col("ts_us") + late).filter(hole) for df in (p, q))
+    t = Tape(p, q, s, LOOSE)
+    narrow = t.filled.groupBy("symbol", "session").agg(F.count("*").alias("n")).first().n
+    assert narrow < 1000  # the hole has one filler
+    # levels near the price, so that verdicts are not decided at once
+    marks = t.flow.filter("updates_last and seq % 5 = 0").select(
+        "symbol", "session", "ts_us", "seq", F.lit(0).cast("long").alias("pref"), F.lit(1).alias("direction"), "price",
+        (F.col("price") * 0.9995).alias("level_price"), (F.col("price") * 0.99).alias("invalidation"),
+        F.lit(0.5).alias("minute_frac"), "open_us", "close_us")
+    got = {(r.symbol, r.seq): r for r in resolve.resolve(marks, t.observations, t.filled, LOOSE).collect()}
+    rows = marks.collect()
+    assert len(rows) > 150 and all((r.symbol, r.seq) in got for r in rows)
+    edges = [r for r in rows if T0 + 330 * SEC < r.ts_us < T0 + 400 * SEC or r.ts_us > T0 + 2050 * SEC]
+    assert len(edges) > 20
+    wide = replace(LOOSE, gap_cap=10**6)
+    end = [(x, 1, T0 + 2500 * SEC, 10**6 + i, 1.0, 1, ["W"], T0, OPEN, T0 + 10**10) for i, x in enumerate(("AAA", "BBB"))]
+    full = Tape(p.unionByName(spark.createDataFrame(end, RAW)), q, s, wide)
+    want = {(r.symbol, r.seq): r for r in resolve.resolve(marks, full.observations, full.filled, wide).collect()}
+    for r in edges:
+        a, b = got[r.symbol, r.seq], want[r.symbol, r.seq]
+        assert (a.resolution_us, a.resolution_price) == (b.resolution_us, b.resolution_price), r
+        assert a.reason == b.reason or "trend" in a.reason + b.reason, (a, b)  # the trend goes on over flat minutes
+
+
 def test_labels(spark):
     up = [(100.02 + i * 0.003, 100.0 + i * 0.003) for i in range(121)]
     good = _label(spark, up)

@@ -565,6 +565,31 @@ SELECT c.seq, c.pref, c.symbol, c.session, c.ts_us, c.direction, c.price, c.leve
 FROM $SRC c JOIN obs o ON c.symbol = o.symbol AND c.session = o.session
   AND (o.o_ts > c.ts_us OR (o.o_ts = c.ts_us AND o.o_prio = 1 AND o.o_seq > c.seq))
   AND o.o_ts <= c.ts_us + 11 * $U"""
+# ticks where a symbol has no bars: deadlines of candidates, and while the flow windows run empty
+TIMERS = """
+SELECT symbol, session, t_b + $U AS o_ts, 0 AS o_prio, 0 AS o_seq, close AS o_price,
+  CASE WHEN buy + sell > 0 THEN (buy - sell) / (buy + sell)::DOUBLE ELSE 0.0 END AS imb5,
+  CASE WHEN buy + sell > 0 THEN buy / (buy + sell)::DOUBLE ELSE 0.5 END AS share5, vol5, slope, mkt_5m, fear_5m, o_vol
+FROM (SELECT *, coalesce(list_sum(list_transform(fl, lambda x: x.b)), 0) AS buy,
+    coalesce(list_sum(list_transform(fl, lambda x: x.s)), 0) AS sell,
+    coalesce(list_sum(list_transform(fl, lambda x: x.v)), 0) AS vol5
+  FROM (SELECT t.symbol, t.session, t.t_b, l.close, k.ema_change / k.close * 1e4 AS slope, k.mkt_5m, k.fear_5m,
+      CASE WHEN k.base_vol > 0 THEN (k.p_vol60 + k.vol) / k.base_vol ELSE 0.0 END AS o_vol,
+      CASE WHEN (t.t_b - l.b_us) // $U < 5
+        THEN l.fl[greatest(len(l.fl) - (4 - (t.t_b - l.b_us) // $U), 1):] ELSE [] END AS fl
+    FROM (SELECT DISTINCT symbol, session, t_b FROM (
+        SELECT symbol, session, close_us, (ts_us + 9 * $U + $U - 1) // $U * $U - $U AS t_b FROM $SRC
+        UNION ALL
+        SELECT symbol, session, close_us,
+          unnest(generate_series(b_us + $U, least(coalesce(nb - $U, b_us + 5 * $U), b_us + 5 * $U), $U))
+        FROM (SELECT *, lead(b_us) OVER (PARTITION BY symbol, session ORDER BY b_us) AS nb FROM filled)
+        WHERE nb IS NULL OR nb > b_us + $U) x
+      WHERE t_b + $U <= close_us AND NOT EXISTS (SELECT 1 FROM filled f WHERE f.symbol = x.symbol
+        AND f.session = x.session AND f.b_us = x.t_b)) t
+    ASOF JOIN (SELECT symbol, session, b_us, close, list({'b': buy_vol, 's': sell_vol, 'v': vol}) OVER (
+        PARTITION BY symbol, session ORDER BY b_us ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS fl FROM filled) l
+      ON t.symbol = l.symbol AND t.session = l.session AND t.t_b >= l.b_us
+    LEFT JOIN ticks1 k ON k.symbol = l.symbol AND k.session = l.session AND k.b_us = l.b_us))"""
 JUDGED = """
 SELECT *, CASE
   WHEN (o_price - invalidation) * direction < 0 THEN 'FAILED:hit invalidation'
@@ -605,9 +630,12 @@ QUALIFY row_number() OVER (PARTITION BY symbol, session, ts_us, seq, pref
 
 def verdict_blocks(src: str, tag: str) -> None:
     """Blocks future<tag>, judged<tag> and resolved<tag> over the candidates in ``src``."""
-    future, judged = f"future{tag}", f"judged{tag}"
+    future, judged, timed = f"future{tag}", f"judged{tag}", f"timed{tag}"
     cte(future, f"{src} obs", FUTURE.replace("$SRC", src))
-    cte(judged, future, JUDGED.replace("$FUTURE", future))
+    cte(f"timers{tag}", f"{src} filled ticks1", TIMERS.replace("$SRC", src))
+    both = f"(SELECT * FROM obs UNION ALL SELECT * FROM timers{tag})"
+    cte(timed, f"{src} obs timers{tag}", FUTURE.replace("$SRC", src).replace("JOIN obs o", f"JOIN {both} o"))
+    cte(judged, timed, JUDGED.replace("$FUTURE", timed))
     cte(f"resolved{tag}", judged, RESOLVED.replace("$JUDGED", judged))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.expr import clamp, floor_us, ratio
+from ..functions.scan import asof_rows
 from ..profile import Profile
 from .gates import opening_phase
 
@@ -121,6 +122,62 @@ def env_clause(mkt: Column, fear: Column, event_vol: Column) -> Column:
     )
 
 
+#: Units of the short flow windows; after so many silent units they are empty.
+SHORT = 5
+
+
+def timers(cands: DataFrame, obs: DataFrame, bars: DataFrame, p: Profile) -> tuple[DataFrame, DataFrame]:
+    """(flat bars, ticks) where the tape is silent but a candidate still waits for its verdict.
+
+    Wide holes and the time after a symbol's last print have no bars.  Candidates bring their own
+    instants there: the tick of their deadline, and the ``SHORT`` ticks after the last bar in
+    which the flow windows run empty.  Each meets the last known bar as of its instant; ticks of
+    a symbol are on the unit grid, so there are never more than units in its session."""
+    c = F.col
+    u = p.unit_us
+    due = c("ts_us") + p.us(p.observe_max_s)
+    due = due + F.pmod(-due, F.lit(u))
+    flow = F.collect_list(F.struct("buy_vol", "sell_vol", "vol"))
+    w = W.partitionBy(*KEY).orderBy("b_us")
+    known = bars.select(
+        *KEY, "b_us", "close", "close_us", flow.over(w.rowsBetween(1 - SHORT, 0)).alias("_flow"),
+        F.lead("b_us").over(w).alias("_next"),
+    )
+    silent = known.filter(c("_next").isNull() | (c("_next") > c("b_us") + u))
+    first = silent.select(
+        *KEY, "close_us", "_next", F.explode(F.sequence(c("b_us") + u, c("b_us") + SHORT * u, F.lit(u))).alias("t_b_us")
+    ).filter(c("_next").isNull() | (c("t_b_us") < c("_next")))
+    ends = cands.select(*KEY, "close_us", (due - u).alias("t_b_us"))
+    at = ends.unionByName(first.drop("_next")).filter(c("t_b_us") + u <= c("close_us")).select(*KEY, "t_b_us").distinct()
+    at = at.join(bars.select(*KEY, c("b_us").alias("t_b_us")), [*KEY, "t_b_us"], "left_anti")
+    ticks = obs.filter("o_prio = 0").select(*KEY, (c("o_ts") - u).alias("l_b_us"), "slope", "o_mkt", "o_fear", "o_vol")
+    last = known.withColumn("l_b_us", c("b_us")).select(*KEY, "b_us", "l_b_us", "close", "_flow")
+    found = asof_rows(at, last, KEY, "t_b_us", "b_us", ("l_b_us", "close", "_flow")).filter("l_b_us is not null")
+    found = found.join(ticks, [*KEY, "l_b_us"], "left")
+    gone = F.expr(f"cast((t_b_us - l_b_us) div {u} as int)")
+    # of the window's SHORT units, ``gone`` are silent: the newest SHORT - gone bars are left in it
+    left = F.when(gone < SHORT, F.slice("_flow", F.greatest(F.size("_flow") - (SHORT - 1 - gone), F.lit(1)), F.lit(SHORT)))
+    left = F.coalesce(left, F.array().cast("array<struct<buy_vol:bigint,sell_vol:bigint,vol:bigint>>"))
+
+    def total(name: str) -> Column:
+        return F.aggregate(left, F.lit(0).cast("bigint"), lambda a, x: a + x[name])
+
+    buy, sell = total("buy_vol"), total("sell_vol")
+    flat = found.select(*KEY, c("t_b_us").alias("b_us"), c("close").alias("high"), c("close").alias("low"))
+    seen = found.select(
+        *KEY,
+        (c("t_b_us") + u).alias("o_ts"),
+        F.lit(0).alias("o_prio"),
+        F.lit(0).cast("bigint").alias("o_seq"),
+        c("close").alias("o_price"),
+        ratio(buy - sell, buy + sell, 0.0).alias("imb5"),
+        ratio(buy, buy + sell, 0.5).alias("share5"),
+        total("vol").alias("vol5"),
+        "slope", "o_mkt", "o_fear", "o_vol",
+    )
+    return flat, seen
+
+
 def watched_buckets(cands: DataFrame, bars: DataFrame, p: Profile) -> DataFrame:
     """(candidate, bucket) pairs in which a verdict is possible, with the extreme so far.
 
@@ -159,7 +216,7 @@ def watched_buckets(cands: DataFrame, bars: DataFrame, p: Profile) -> DataFrame:
 
 
 def resolve(cands: DataFrame, obs: DataFrame, bars: DataFrame, p: Profile) -> DataFrame:
-    """First verdict of each candidate; candidates the tape ends on have none.
+    """First verdict of each candidate; those whose session ends before their deadline may have none.
 
     Bars narrow down where a verdict can fall; only those buckets are looked at print by
     print.  Output: candidate key + resolution, reason, resolution_us, resolution_price,
@@ -170,6 +227,9 @@ def resolve(cands: DataFrame, obs: DataFrame, bars: DataFrame, p: Profile) -> Da
     narrow = cands.select(
         *CAND, "direction", "price", "level_price", "invalidation", opening_phase(p).alias("in_open")
     )
+    flat, ticks = timers(cands, obs, bars, p)
+    bars = bars.select(*flat.columns).unionByName(flat)
+    obs = obs.unionByName(ticks)
     pairs = watched_buckets(narrow, bars, p)
     # the tick at a bar's end belongs to that bar
     at = c("o_ts") - F.when(c("o_prio") == 0, u).otherwise(0)
