@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from tests.fixtures import SEC, T0
-from tidemark import DEFAULT
+from tidemark import DEFAULT, TUNED
 from tidemark.functions.scan import Running, ewma, running
 from tidemark.operators import arbiter, learn, metrics, outbox, quality, store
 
@@ -53,6 +53,41 @@ def test_ewma_over_many_blocks(spark):
         assert abs(got[i] - e) < 1e-9
 
 
+def test_drift_over_many_rows_of_one_key(spark):
+    """Ten thousand ids of one key, drift that builds up across chunks; averages never restart."""
+    loss = lambda i: 0.3 + (i * 7919 % 101) / 400 + (0.9 if 4000 <= i < 4300 or i > 8190 else 0.0)
+    ids = [i for i in range(10_000) if i % 13]
+    rows = spark.createDataFrame([("K", i, i // 100, loss(i)) for i in ids] + [("L", 5, 0, 1.0)], "k string, seq bigint, day bigint, loss double")
+    drift = learn.drift_monitor(rows, ["k"], "seq").cache()
+    got = {(r.k, r.seq): r for r in drift.collect()}
+    fast = slow = None
+    on, starts = False, set()
+    for n, i in enumerate(ids, 1):
+        x = loss(i)
+        fast = x if fast is None else fast + 0.30 * (x - fast)
+        slow = x if slow is None else slow + 0.02 * (x - slow)
+        r = got["K", i]
+        assert r.n == n and abs(r.fast - fast) < 1e-9 and abs(r.slow - slow) < 1e-9
+        was, on = on, n > 30 and fast > slow + 0.25
+        assert r.drift == on
+        if on and not was:
+            starts.add(i // 100)
+    assert {r.day for r in learn.drift_refits(drift, ["k"], "seq", "day").collect()} == starts and len(starts) == 2
+
+
+def test_drift_forces_a_refit(spark):
+    """A model fitted after the drift knows what the one before it could not."""
+    rows = [(i, 1 if i % 2 else -1, i // 20, float(i % 5), (i % 5 > 2) != (i // 20 >= 30), True) for i in range(1000)]
+    df = spark.createDataFrame(rows, "signal_id bigint, direction int, session bigint, x double, label boolean, ready boolean")
+    plain = learn.walkforward_scores(df, ("x",), replace(TUNED, min_labels=20), 25, 0, 49)
+    forced = learn.walkforward_scores(df, ("x",), replace(TUNED, min_labels=20), 25, 0, 49, drifted=[39])
+    versions = lambda out: {(r.session, r.model_version) for r in out.select("session", "model_version").distinct().collect()}
+    assert {v for _, v in versions(plain)} == {"lr-0", "lr-25"}
+    assert {s for s, v in versions(forced) if v == "lr-40"} == set(range(40, 50))
+    early = lambda out: {r.signal_id: r.prob for r in out.filter("session < 40").collect()}
+    assert early(plain) == early(forced)
+
+
 def test_multipliers_equal_sequential_product(spark):
     rows, df = outcomes(spark)
     p = DEFAULT

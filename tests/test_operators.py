@@ -214,6 +214,20 @@ def test_sweeps_match_sequential_fold(spark):
     assert got == want and len(want) > 5
 
 
+def test_all_fresh_reclaims_match(spark):
+    """Twelve reclaims within the age limit, at bucket edges and at one instant; older ones do not."""
+    age = P.us(P.reclaim_age_s)
+    at = (T0 // age + 3) * age
+    stamps = [at - age - 1, at - age, at - age + 1, *[at - 1 - k for k in range(5)], *[at + k for k in range(5)], at + age]
+    events = [("X", 1, ts, k, 10.0 + k, 0, 1 if k % 2 else -1, 9.0) for k, ts in enumerate(stamps)]
+    reclaims = spark.createDataFrame(events, "symbol string, session bigint, ts_us bigint, seq bigint, level double, kind int, direction int, swept_extreme double")
+    asked = [(at, 9), (at + age, 99), (at + 2 * age, 100), (at - age, 0)]
+    rows = spark.createDataFrame([("X", 1, ts, seq, 1.0) for ts, seq in asked], "symbol string, session bigint, ts_us bigint, seq bigint, price double")
+    got = sorted((r.ts_us, r.seq, r.r_ts_us) for r in sweeps.active_reclaims(rows, reclaims, P).collect())
+    want = sorted((ts, seq, e) for ts, seq in asked for k, e in enumerate(stamps) if (e < ts or (e == ts and k <= seq)) and ts - e <= age)
+    assert got == want and sum(ts == at for ts, _, _ in got) > 7
+
+
 def test_penalty_value(spark):
     row = spark.createDataFrame(
         [(1.6, 3.0, 0.0, 1)], "comp_ratio double, vol_ratio_prev double, imb15 double, direction int"

@@ -265,10 +265,8 @@ cte("eligible", "flowwin", "SELECT * FROM flowwin WHERE ul AND fl AND ts_us >= o
 cte("active", "eligible reclaims", """
 SELECT e.symbol, e.session, e.ts_us, e.seq, e.price, r.r_idx, r.ts_us AS r_ts_us,
   r.level AS level_price, r.kind AS level_kind, r.direction
-FROM (SELECT e.*, (SELECT max(r_idx) FROM reclaims r WHERE r.symbol = e.symbol
-    AND r.session = e.session AND r.ts_us <= e.ts_us) AS known FROM eligible e) e
-JOIN reclaims r ON r.symbol = e.symbol AND r.session = e.session AND r.ts_us <= e.ts_us
-  AND e.ts_us - r.ts_us <= 5 * $U AND r.r_idx > e.known - 8""")
+FROM eligible e JOIN reclaims r ON r.symbol = e.symbol AND r.session = e.session AND r.ts_us <= e.ts_us
+  AND e.ts_us - r.ts_us <= 5 * $U""")
 
 
 @query("active_reclaims", "active", """

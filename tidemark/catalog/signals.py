@@ -476,18 +476,17 @@ FROM (SELECT seq, symbol, row_number() OVER w AS i,
     list_reduce(list(loss) OVER w, lambda a, x: a + 0.3::DOUBLE * (x - a)) AS fast,
     list_reduce(list(loss) OVER w, lambda a, x: a + 0.02::DOUBLE * (x - a)) AS slow
   FROM (SELECT seq, symbol, bucket, -ln(CASE WHEN label THEN 0.3::DOUBLE + (seq % 50) / 100.0::DOUBLE
-      ELSE 0.7::DOUBLE - (seq % 50) / 100.0::DOUBLE END) AS loss, seq // 3000 AS era FROM oouts)
-  WINDOW w AS (PARTITION BY symbol, bucket, era ORDER BY seq))""")
+      ELSE 0.7::DOUBLE - (seq % 50) / 100.0::DOUBLE END) AS loss FROM oouts)
+  WINDOW w AS (PARTITION BY symbol, bucket ORDER BY seq))""")
 def drift_monitor(spark, sf_dir):
     """Drift of a stand-in forecast (its probability rises with the id) per day part."""
     c = F.col
     p = 0.3 + (c("seq") % 50) / 100.0
     q = 0.7 - (c("seq") % 50) / 100.0
     rows = outcomes(spark, sf_dir).select(
-        "seq", "symbol", "bucket", F.expr("seq div 3000").alias("era"),
-        (-F.log(F.when(c("label"), p).otherwise(q))).alias("loss"),
+        "seq", "symbol", "bucket", (-F.log(F.when(c("label"), p).otherwise(q))).alias("loss"),
     )
-    out = learn.drift_monitor(rows, ["symbol", "bucket", "era"], "seq")
+    out = learn.drift_monitor(rows, ["symbol", "bucket"], "seq")
     return out.select("seq", "symbol", r(c("fast")).alias("fast"), r(c("slow")).alias("slow"), "drift")
 
 

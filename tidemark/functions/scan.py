@@ -179,46 +179,46 @@ def ewma(
     alpha: float,
     out: str,
     initial: DataFrame | None = None,
+    chunk: str | None = None,
 ) -> DataFrame:
-    """Exponential average whose first value is the first input (bar-level tables), or which
-    goes on from ``initial``: a row per key with the average so far in a column named ``out``.
+    """Exponential average whose first value is the first input, or which goes on from
+    ``initial``: a row per key with the average so far in a column named ``out``.
 
-    Inside a block the recurrence is a weighted prefix sum; the block size keeps the
-    weights inside double range.  Blocks chain through their (length, end) pairs."""
+    Each step is the map y -> keep * y + alpha * x, and such maps compose.  Rows are cut into
+    blocks by their number; inside a block the composition is a weighted prefix sum, its size
+    keeping the weights inside double range.  Over a whole block the old value's weight is
+    e^-600, below what a double can add, so a block starts from the end of the one before it:
+    one row for each block, met on equality.
+
+    Bar-level tables are numbered by a window over the key; with ``chunk``, a column that rises
+    with ``order``, numbering is a chunked scan too, and a key with all rows is split."""
     keys = list(keys)
     block = max(int(600 / -math.log(1.0 - alpha)), 1)
     keep = 1.0 - alpha
-    whole = W.partitionBy(*keys).orderBy(order)
-    rows = (
-        df.withColumn("_x", value.cast("double"))
-        .withColumn("_i", F.row_number().over(whole) - 1)
-        .withColumn("_x0", F.first("_x").over(whole))
-        .withColumn("_b", F.floor(F.col("_i") / block))
-        .withColumn("_p", F.col("_i") % block)
-    )
+    rows = df.withColumn("_x", value.cast("double"))
+    if chunk is None:
+        whole = W.partitionBy(*keys).orderBy(order)
+        rows = rows.withColumn("_i", F.row_number().over(whole) - 1).withColumn("_x0", F.first("_x").over(whole))
+    else:
+        specs = [Running("_i", "sum", F.lit(1).cast("bigint")), Running("_x0", "first", F.col("_x"))]
+        rows = running(rows, keys, chunk, [order], specs).withColumn("_i", F.col("_i") - 1)
     if initial is not None:
         rows = rows.join(initial.select(*keys, F.col(out).alias("_start")), keys, "left")
         rows = rows.withColumn("_x0", F.coalesce("_start", "_x0")).drop("_start")
+    rows = rows.withColumn("_b", F.floor(F.col("_i") / block)).withColumn("_p", F.col("_i") % block)
     inside = W.partitionBy(*keys, "_b").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     scaled = F.col("_x") * F.pow(F.lit(keep), -F.col("_p"))
     rows = rows.withColumn(
         "_l", F.sum(scaled).over(inside) * F.pow(F.lit(keep), F.col("_p")) * F.lit(alpha)
     )
-    ends = rows.groupBy(*keys, "_b").agg(
-        F.max("_p").alias("_n"), F.max_by("_l", "_p").alias("_e"), F.first("_x0").alias("_x0")
+    ends = rows.groupBy(*keys, (F.col("_b") + 1).alias("_b")).agg(
+        F.max("_p").alias("_n"), F.max_by("_l", "_p").alias("_e")
     )
-    earlier = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    chain = F.collect_list(F.struct("_n", "_e")).over(earlier)
-    carry = ends.select(
-        *keys,
-        "_b",
-        F.aggregate(
-            chain,
-            F.col("_x0"),
-            lambda acc, s: F.pow(F.lit(keep), s["_n"] + 1) * acc + s["_e"],
-        ).alias("_c"),
+    # the first block's start still shows in the second's when blocks are short of e^-600
+    start = F.when(F.col("_b") == 0, F.col("_x0")).otherwise(
+        F.col("_e") + F.when(F.col("_b") == 1, F.pow(F.lit(keep), F.col("_n") + 1) * F.col("_x0")).otherwise(0.0)
     )
-    done = rows.join(carry, [*keys, "_b"])
+    done = rows.join(ends, [*keys, "_b"], "left")
     return done.select(
-        *df.columns, (F.pow(F.lit(keep), F.col("_p") + 1) * F.col("_c") + F.col("_l")).alias(out)
+        *df.columns, (F.pow(F.lit(keep), F.col("_p") + 1) * start + F.col("_l")).alias(out)
     )

@@ -121,10 +121,11 @@ def sweep_reclaims(obs: DataFrame, p: Profile) -> DataFrame:
 
 
 def active_reclaims(prints: DataFrame, reclaims: DataFrame, p: Profile) -> DataFrame:
-    """Reclaims still fresh at each print: at most ``reclaim_keep``, newest kept.
+    """Reclaims still fresh at each print: all that are not older than ``reclaim_age_s``.
 
-    Reclaims are numbered per (symbol, session); a print knows how many happened so
-    far, so it fetches the last few by number: linear, with a fixed fan-out."""
+    Time is cut into buckets as long as that age, and each reclaim stands in its own bucket and
+    the next one.  A print then meets, on equality, all reclaims that can be fresh for it and
+    each of them once."""
     numbered = running(
         reclaims.withColumn("_chunk", floor_us(F.col("ts_us"), p.macro_us)),
         KEY,
@@ -132,30 +133,20 @@ def active_reclaims(prints: DataFrame, reclaims: DataFrame, p: Profile) -> DataF
         ["ts_us", "seq", "level", "kind"],
         [Running("r_idx", "sum", F.lit(1).cast("bigint"))],
     )
-    events = numbered.select(*KEY, "ts_us", "seq", "r_idx", F.lit(0).alias("_prio"))
-    rows = prints.withColumn("_prio", F.lit(1)).unionByName(events, allowMissingColumns=True)
-    known = running(
-        rows.withColumn("_chunk", floor_us(F.col("ts_us"), p.macro_us)),
-        KEY,
-        "_chunk",
-        ["ts_us", "seq", "_prio"],
-        [
-            Running("_n", "max", F.col("r_idx")),
-            Running("_seen", "max", F.when(F.col("_prio") == 0, F.col("ts_us"))),
-        ],
-    ).filter("_prio = 1")
     age = p.us(p.reclaim_age_s)
-    fresh = known.filter(F.col("ts_us") - F.col("_seen") <= age)
-    lo = F.greatest(F.col("_n") - (p.reclaim_keep - 1), F.lit(1))
-    wanted = fresh.withColumn("r_idx", F.explode(F.sequence(lo, F.col("_n"))))
-    wanted = wanted.drop("_prio", "_chunk", "_n", "_seen")
-    picked = numbered.select(
+    own = F.expr(f"ts_us div {age}")
+    events = numbered.select(
         *KEY,
+        F.explode(F.array(own, own + 1)).alias("_age"),
         "r_idx",
         F.col("ts_us").alias("r_ts_us"),
+        F.col("seq").alias("_r_seq"),
         F.col("level").alias("level_price"),
         F.col("kind").alias("level_kind"),
         "direction",
     )
-    out = wanted.join(picked, [*KEY, "r_idx"])
-    return out.filter(F.col("ts_us") - F.col("r_ts_us") <= age)
+    both = prints.withColumn("_age", own).join(events, [*KEY, "_age"])
+    before = (F.col("r_ts_us") < F.col("ts_us")) | (
+        (F.col("r_ts_us") == F.col("ts_us")) & (F.col("_r_seq") <= F.col("seq"))
+    )
+    return both.filter(before & (F.col("ts_us") - F.col("r_ts_us") <= age)).drop("_age", "_r_seq")

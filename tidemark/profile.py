@@ -73,7 +73,6 @@ class Profile:
     sweep_window_s: float = 90.0
     sweep_max_bps: float = 20.0
     reclaim_age_s: float = 5.0
-    reclaim_keep: int = 8
     compression_max_ratio: float = 0.75
     compression_relax: float = 0.90
     invalidation_min_bps: float = 6.0
