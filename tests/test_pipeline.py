@@ -14,7 +14,7 @@ from tidemark.operators import arbiter, resolve
 from tidemark.operators import bars as B
 from tidemark.plans import arbitration as A
 from tidemark.plans.pipeline import Tape
-from tidemark.streaming import live
+from tidemark.streaming import live, verdicts
 
 OPEN = T0 + 120 * SEC
 LOOSE = replace(
@@ -261,6 +261,39 @@ def test_late_prints_are_counted(spark, tmp_path):
     assert own.select("symbol", "b_us", "vol").exceptAll(got.select("symbol", "b_us", "vol")).count() > 10
 
 
+def test_streamed_verdicts_and_labels_equal_batch(spark, tmp_path):
+    """Ten micro-batches, one symbol silent for minutes: verdicts and ready labels are the batch's."""
+    p, q, s = make(spark, seed=6, seconds=700)
+    quiet = (F.col("symbol") == "AAA") & F.col("ts_us").between(T0 + 300 * SEC, T0 + 480 * SEC)
+    t = Tape(p.filter(~quiet), q.filter(~quiet), s, replace(LOOSE, gap_cap=60), "AAA", "BBB")
+    marks = t.flow.filter("updates_last and seq % 9 = 0").select(
+        "symbol", "session", "ts_us", "seq", F.lit(0).cast("long").alias("pref"), F.when(F.col("seq") % 2 == 0, 1).otherwise(-1).alias("direction"),
+        "price", (F.col("price") * 0.9995).alias("level_price"), (F.col("price") * 0.997).alias("invalidation"),
+        F.lit(0.5).alias("minute_frac"), "open_us", "close_us").cache()
+    all_events = verdicts.events(marks, t.observations, t.filled, t.profile).cache()
+    src = str(tmp_path / "in")
+    for k in range(10):
+        lo, hi = T0 + 75 * k * SEC, T0 + (75 * k + 75 if k < 9 else 10**6) * SEC
+        all_events.filter((F.col("at_us") >= lo) & (F.col("at_us") < hi)).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(all_events.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    verdicts.verdict_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp"), t.profile).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out" / "verdicts"))
+    end = t.observations.agg(F.max("o_ts")).first()[0]
+    want = resolve.resolve(marks, t.observations, t.filled, t.profile).filter(F.col("resolution_us") <= end)
+    cols = [*resolve.CAND, "resolution", "reason", "resolution_us", "resolution_price", F.round("micro_extreme", 9).alias("x"), "env"]
+    assert want.count() > 60 and got.count() == want.count()
+    assert got.select(*cols).exceptAll(want.select(*cols)).count() == 0
+    assert want.groupBy("resolution_us").count().count() > 20 and got.select("batch").distinct().count() > 5
+    labels = spark.read.parquet(str(tmp_path / "out" / "labels"))
+    due = resolve.label_outcomes(marks, t.filled, t.profile).filter(F.col("ready") & (F.col("due_us") + SEC <= end))
+    cols = [*resolve.CAND, "label", "label_reason", "mfe", "mae", "lead_time", "was_late", "due_us"]
+    assert labels.count() == due.count() > 60
+    assert labels.select(*cols).exceptAll(due.select(*cols)).count() == 0
+    # the state does not grow with the tape
+    sizes = [spark.read.parquet(str(tmp_path / "out" / "bars" / f"batch={k}")).count() for k in range(10)]
+    assert max(sizes) < t.filled.count() / 2
+
+
 def test_hot_symbol_is_split(spark):
     """The print-level exchange is keyed by time chunks, not by symbol alone."""
     p, q, _ = make(spark, seconds=10)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import bars, resolve, sides
+from ..operators import bars, sides
 from ..operators.ingest import clean, late_demote, rebucket_late
 from ..profile import Profile
 from ..sources import wire
@@ -178,11 +178,3 @@ def bar_table(spark: SparkSession, out: str, last_batch: int | None = None) -> D
         left = spark.read.parquet(f"{out}/open/batch={last_batch}")
         closed = closed.unionByName(left.groupBy(*KEY, "b_us").agg(*bars.bar_aggregates("arr_us")))
     return bars.finish_bars(closed)
-
-
-def due_labels(signals: DataFrame, labeled: DataFrame, filled: DataFrame, p: Profile) -> DataFrame:
-    """Labels that became due: signals without one whose window is now complete.
-
-    Run it in ``foreachBatch`` of the bar stream; it reuses the batch label operator."""
-    open_ = signals.join(labeled.select(*resolve.CAND), list(resolve.CAND), "left_anti")
-    return resolve.label_outcomes(open_, filled, p).filter("ready")
