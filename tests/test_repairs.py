@@ -43,14 +43,26 @@ def test_models_and_trends():
 
 
 def test_backfill_leaves_live_rows_alone(spark):
-    cols = "session string, symbol string, exchange string, trade_id long, ts_us long, seq long"
+    cols = "session string, symbol string, exchange string, trade_id long, ts_us long, seq long, price double, size long"
     gap = P.us(P.backfill_gap) * 3
     live = [("d1", "A", "X", 1, 0, 0), ("d1", "A", "X", None, gap, 1), ("d1", "A", "X", None, gap + 1, 2), ("d2", "A", "X", 1, 0, 3)]
     past = [("d1", "A", "X", 1, 5, 4), ("d1", "A", "X", 7, 6, 5), ("d2", "A", "X", 7, 6, 6)]
+    live, past = ([(*r, 1.0, 1) for r in rows] for rows in (live, past))
     out = ingest.gap_backfill(spark.createDataFrame(live, cols), spark.createDataFrame(past, cols), P)
     assert sorted((r.seq, r.is_backfill) for r in out.collect()) == [(0, False), (1, False), (2, False), (3, False), (5, True)]
 
 
+def test_backfill_keeps_rows_without_an_id(spark):
+    """A missing id identifies nothing: only the very row that is live already goes."""
+    cols = "session string, symbol string, exchange string, trade_id long, ts_us long, seq long, price double, size long"
+    gap = P.us(P.backfill_gap) * 3
+    live = [("d1", "A", "X", None, 0, 0, 5.0, 10), ("d1", "A", "X", None, gap, 1, 5.0, 10)]
+    past = [("d1", "A", "X", None, 0, 2, 5.0, 10), ("d1", "A", "X", None, 7, 3, 5.0, 10), ("d1", "A", "X", None, gap, 4, 5.0, 11)]
+    past += [("d1", "A", "X", None, 7, 5, 5.0, 10), ("d1", "A", "X", 3, 8, 6, 5.0, 10), ("d1", None, "X", None, 9, 7, 5.0, 10)]
+    out = ingest.gap_backfill(spark.createDataFrame(live, cols), spark.createDataFrame(past, cols), P)
+    assert sorted((r.seq, r.is_backfill) for r in out.collect()) == [(0, False), (1, False), (3, True), (4, True), (5, True), (6, True), (7, True)]
+
+
 def test_order_key_with_signed_minors(spark):
     rows = [(1, 9 * 10**18), (2, -9 * 10**18), (1, -5), (1, 0), (-3, 7)]
     df = spark.createDataFrame(rows, "a long, b long").orderBy(order_key(F.col("a"), F.col("b")))

@@ -68,6 +68,7 @@ fold_blocks("fold", "session::VARCHAR")
 fold_blocks("fold_sym", "session::VARCHAR || symbol")
 fold_blocks("fold_tight", "session::VARCHAR", hour=4, burst=1)
 TIGHT = replace(P, max_alerts_hour_total=4, max_alerts_burst=1)
+cte("won", "fold", "SELECT l.* FROM fold JOIN fold_line l USING (grp, pos) WHERE ok")
 _SID = "symbol || '-' || (ts_us // 1000) || CASE WHEN direction > 0 THEN '-U' ELSE '-D' END"
 
 
@@ -307,7 +308,7 @@ def _dec1(x: str) -> str:
     return f"printf('%.1f', round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(30, 15)), 1)::DOUBLE)"
 
 
-cte("notes", "gated resolved", """
+cte("notes", "gated resolved won", """
 SELECT *, concat_ws(', ', CASE WHEN mkt_al_5m <= -0.3 THEN 'against market'
       WHEN mkt_al_5m >= 0.3 THEN 'with market' END,
     CASE WHEN fear_5m >= 0.3 THEN 'fear rising' WHEN fear_5m <= -0.3 THEN 'fear easing' END)
@@ -315,9 +316,10 @@ SELECT *, concat_ws(', ', CASE WHEN mkt_al_5m <= -0.3 THEN 'against market'
   strftime(timezone('America/New_York', make_timestamp(at_us) AT TIME ZONE 'UTC'), '%H:%M:%S')
     AS clock
 FROM (SELECT g.*, 'EARLY' AS what, g.ts_us AS at_us, '' AS why, '' AS env, 0.0 AS extreme
-    FROM gated g WHERE gate_reason IS NULL
+    FROM gated g JOIN (SELECT seq, pref FROM won WHERE NOT is_trend) USING (seq, pref)
   UNION ALL SELECT g.*, v.resolution, v.o_ts, v.reason, v.env, v.extreme
-    FROM gated g JOIN resolved v USING (seq, pref))""")
+    FROM gated g JOIN resolved v USING (seq, pref)
+    JOIN (SELECT seq, pref FROM won WHERE NOT is_trend) USING (seq, pref))""")
 
 
 @query("outbox", "notes", f"""
@@ -337,10 +339,11 @@ FROM (SELECT *, what || CASE WHEN direction > 0 THEN ' UP ' ELSE ' DOWN ' END ||
   CASE WHEN env <> '' THEN ' | ' || env WHEN context <> '' THEN ' | ' || context ELSE '' END AS tail
   FROM notes)""")
 def outbox_(spark, sf_dir):
-    """Messages of every passing candidate and its verdict."""
-    t = tape(spark, sf_dir)
+    """Messages of every alert that was sent, and of its verdict."""
+    t, _, sigs = _finished(spark, sf_dir)
     c = F.col
-    base = t.passing.select(
+    sent = sigs.filter("not suppressed and not is_trend").select(*A.ID)
+    base = t.passing.join(sent, A.ID, "left_semi").select(
         *A.ID, "direction", c("level_price").alias("trigger_price"), c("trigger_verb").alias("verb"),
         c("vol_ratio_prev").alias("vol_ratio"), "invalidation",
         outbox.context_clause(c("mkt_al_5m"), c("fear_5m")).alias("context"),
@@ -605,13 +608,17 @@ def recap_text(spark, sf_dir):
     return out.select("verb", metrics.recap_text(F.col("verb")).alias("text"))
 
 
-@query("symbol_day", "gated", """
+@query("symbol_day", "gated won", """
+SELECT symbol, session, coalesce(alerts, 0) AS alerts, coalesce(confirmed, 0) AS confirmed, passed, rejected, reasons, velocity
+FROM (
 SELECT symbol, session, count(*) FILTER (gate_reason IS NULL) AS passed,
   count(*) FILTER (gate_reason IS NOT NULL AND gate_reason <> 'untriggered') AS rejected,
   count(DISTINCT gate_reason) FILTER (gate_reason <> 'untriggered') AS reasons,
-  count(*) FILTER (gate_reason = 'velocity') AS velocity FROM gated GROUP BY ALL""")
+  count(*) FILTER (gate_reason = 'velocity') AS velocity FROM gated GROUP BY ALL)
+LEFT JOIN (SELECT symbol, session, count(*) AS alerts, count(*) FILTER (resolution = 'CONFIRMED') AS confirmed
+  FROM won GROUP BY ALL) USING (symbol, session)""")
 def symbol_day(spark, sf_dir):
-    """Per-symbol day counters with the map of rejection reasons."""
+    """Per-symbol day counters: alerts sent, and the map of rejection reasons."""
     c = F.col
     per = (
         tape(spark, sf_dir)
@@ -625,24 +632,39 @@ def symbol_day(spark, sf_dir):
         F.map_from_entries(F.collect_list(entry)).alias("rejections"),
     )
     total = F.aggregate(F.map_values("rejections"), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return days.select(
-        "symbol", "session", "passed", total.alias("rejected"),
+    _, _, sigs = _finished(spark, sf_dir)
+    sent = sigs.filter("not suppressed").groupBy("symbol", "session").agg(
+        F.count("*").alias("alerts"), F.count_if(c("resolution") == "CONFIRMED").alias("confirmed")
+    )
+    none = F.lit(0).cast("bigint")
+    return days.join(sent, ["symbol", "session"], "left").select(
+        "symbol", "session", F.coalesce("alerts", none).alias("alerts"), F.coalesce("confirmed", none).alias("confirmed"),
+        "passed", total.alias("rejected"),
         F.size("rejections").cast("bigint").alias("reasons"),
         F.coalesce(F.try_element_at("rejections", F.lit("velocity")), F.lit(0)).alias("velocity"),
     )
 
 
-@query("run_report", "gated filled resolved outcome", """
+@query("run_report", "gated filled won", """
 SELECT count(*) AS candidates, count(*) FILTER (gate_reason IS NULL) AS passed,
   count(*) FILTER (gate_reason IS NOT NULL AND gate_reason <> 'untriggered') AS rejected,
-  (SELECT count(*) FROM resolved WHERE resolution = 'CONFIRMED') AS confirmed,
-  (SELECT count(*) FROM outcome WHERE risk > 0 AND label) AS positive,
+  (SELECT count(*) FROM won) AS alerts, 0::BIGINT AS suppressed,
+  (SELECT count(*) FROM won WHERE resolution = 'CONFIRMED') AS confirmed,
+  (SELECT count(*) FROM won WHERE resolution = 'FAILED') AS failed,
+  (SELECT count(*) FROM won WHERE label) AS positive,
+  (SELECT round(avg(label::INT::DOUBLE), 6) FROM won) AS precision,
+  (SELECT count(DISTINCT symbol) FROM won) AS symbols,
   (SELECT count(*) FROM filled) AS bars FROM gated""")
 def run_report(spark, sf_dir):
     """One row per run: each fact table contributes its own partial counts."""
     t = tape(spark, sf_dir)
     c = F.col
-    names = ("candidates", "passed", "rejected", "confirmed", "positive", "bars")
+    names = (
+        "candidates", "passed", "rejected", "alerts", "suppressed", "confirmed", "failed", "positive", "labelled",
+        "symbols", "bars",
+    )
+    _, _, sigs = _finished(spark, sf_dir)
+    live = ~c("suppressed")
 
     def part(df, **conds):
         cols = [
@@ -657,14 +679,24 @@ def run_report(spark, sf_dir):
             passed=c("gate_reason").isNull(),
             rejected=c("gate_reason") != "untriggered",
         ),
-        part(t.resolutions, confirmed=c("resolution") == "CONFIRMED"),
-        part(t.labels, positive=c("label")),
+        part(
+            sigs,
+            alerts=live,
+            suppressed=c("suppressed"),
+            confirmed=live & (c("resolution") == "CONFIRMED"),
+            failed=live & (c("resolution") == "FAILED"),
+            positive=live & c("label"),
+            labelled=live & c("label").isNotNull(),
+        ),
+        part(sigs.filter(live).select("symbol").distinct(), symbols=F.lit(True)),
         part(t.filled, bars=F.lit(True)),
     ]
     rows = parts[0]
     for extra in parts[1:]:
         rows = rows.unionByName(extra)
-    return rows.agg(*[F.sum(n).alias(n) for n in names])
+    total = rows.agg(*[F.sum(n).alias(n) for n in names])
+    precision = r(F.when(c("labelled") > 0, c("positive") / c("labelled")))
+    return total.withColumn("precision", precision).drop("labelled")
 
 
 @query("status_row", "osig", """
@@ -709,7 +741,7 @@ WHERE traded_units > 0 AND (abs(close - open) / open * 1e4 >= 60
   OR abs(close - open) / open * 1e4 < 8)""")
 
 
-@query("detection_eval", "truth gated", """
+@query("detection_eval", "truth won", """
 SELECT symbol, session, kind, direction, event_us,
   CASE WHEN kind <> 'quiet' THEN first_us - event_us END AS delay_us,
   CASE WHEN kind = 'quiet' THEN CASE WHEN n = 0 THEN 'OK' ELSE 'FALSE_ALERTS' END
@@ -717,11 +749,11 @@ SELECT symbol, session, kind, direction, event_us,
 FROM (SELECT t.symbol, t.session, t.kind, t.direction, t.event_us, count(a.ts_us) AS n,
     min(a.ts_us) FILTER (a.direction = t.direction
       AND a.ts_us BETWEEN t.event_us - 5 * $U AND t.move_end_us) AS first_us
-  FROM truth t LEFT JOIN (SELECT * FROM gated WHERE gate_reason IS NULL) a
+  FROM truth t LEFT JOIN won a
     ON t.symbol = a.symbol AND t.session = a.session
   GROUP BY t.symbol, t.session, t.kind, t.direction, t.event_us)""")
 def detection_eval(spark, sf_dir):
-    """Large and flat macro bars as expected events, passing candidates as alerts."""
+    """Large and flat macro bars as expected events, and the alerts that were sent."""
     t = tape(spark, sf_dir)
     c = F.col
     move = F.abs(c("close") - c("open")) / c("open") * 1e4
@@ -735,7 +767,7 @@ def detection_eval(spark, sf_dir):
         F.when(c("close") > c("open"), 1).otherwise(-1).alias("direction"),
         c("m_us").alias("event_us"), (c("m_us") + 2 * P.macro_us).alias("move_end_us"),
     )
-    out = metrics.detection_eval(truth, t.passing, P.us(5), P.macro_us)
+    out = metrics.detection_eval(truth, _finished(spark, sf_dir)[2], P.us(5), P.macro_us)
     return out.select("symbol", "session", "kind", "direction", "event_us", "delay_us", "verdict")
 
 

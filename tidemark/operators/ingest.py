@@ -137,7 +137,8 @@ def gap_backfill(live: DataFrame, history: DataFrame, p: Profile) -> DataFrame:
 
     A gap is spread over the macro buckets it touches, so the join is on equality.  Live rows
     stay as they are; a fetched row goes if the session has a live row with its symbol,
-    exchange and trade id (nulls equal)."""
+    exchange and trade id.  A missing id identifies nothing: such a row goes only if a live one
+    without an id has its instant, price and size as well."""
     lo, hi = floor_us(F.col("gap_from_us"), p.macro_us), floor_us(F.col("gap_to_us"), p.macro_us)
     gaps = feed_gaps(live, p).select(
         F.col("session").alias("_gap_session"),
@@ -152,11 +153,17 @@ def gap_backfill(live: DataFrame, history: DataFrame, p: Profile) -> DataFrame:
     )
     fetched = history.join(gaps, inside, "left_semi")
     keys = ["session", "symbol", "exchange", "trade_id"]
-    known = live.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    new = fetched.join(known, same, "left_anti")
+    exact = ["ts_us", "price", "size"]
+
+    def without(rows: DataFrame, named: bool, columns: list[str]) -> DataFrame:
+        has_id = F.col("trade_id").isNotNull() if named else F.col("trade_id").isNull()
+        known = live.filter(has_id).select(*[F.col(k).alias(f"_{k}") for k in columns])
+        same = F.lit(True)
+        for k in columns:
+            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        return rows.filter(has_id).join(known, same, "left_anti")
+
+    new = without(fetched, True, keys).unionByName(without(fetched, False, keys + exact))
     return live.withColumn("is_backfill", F.lit(False)).unionByName(new.withColumn("is_backfill", F.lit(True)))
 
 
