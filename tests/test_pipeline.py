@@ -14,6 +14,7 @@ from tidemark.operators import arbiter, resolve
 from tidemark.operators import bars as B
 from tidemark.plans import arbitration as A
 from tidemark.plans.pipeline import Tape
+from tidemark.sources import wire
 from tidemark.streaming import live, verdicts
 
 OPEN = T0 + 120 * SEC
@@ -261,6 +262,22 @@ def test_late_prints_are_counted(spark, tmp_path):
     assert own.select("symbol", "b_us", "vol").exceptAll(got.select("symbol", "b_us", "vol")).count() > 10
 
 
+def test_wire_documents_from_a_folder(spark, tmp_path):
+    """Documents that arrive as files are the messages of a batch over the same files."""
+    src = tmp_path / "in"
+    src.mkdir()
+    for k in range(3):
+        (src / f"{k}.json").write_text(f'[{{"T":"t","S":"A","i":{k},"x":"V","p":1.5,"s":{k + 1},"t":"2026-08-28T14:30:0{k}Z","c":["@"]}}]\n[{{\n')
+    query = (
+        live.wire_stream(spark, str(src), 1).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+        .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r["size"], r.price) for r in wire.trades(got).collect()) == [(1, 1.5), (2, 1.5), (3, 1.5)]
+    assert [r.route for r in wire.errors(got).collect()] == ["quarantine"] * 3
+
+
 def test_streamed_verdicts_and_labels_equal_batch(spark, tmp_path):
     """Ten micro-batches, one symbol silent for minutes: verdicts and ready labels are the batch's."""
     p, q, s = make(spark, seed=6, seconds=700)

@@ -237,7 +237,7 @@ def preopen_seed(spark, sf_dir):
 
 
 cte("ema", "macro", """
-SELECT *, ema20 - lag(ema20, 3) OVER (PARTITION BY symbol, session ORDER BY m_us) AS ema_change
+SELECT *, round(ema20 - lag(ema20, 3) OVER (PARTITION BY symbol, session ORDER BY m_us), 9) AS ema_change
 FROM (SELECT *, list_reduce(list(close) OVER (PARTITION BY symbol, session ORDER BY m_us
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
     lambda a, x: x * (2.0::DOUBLE / 21) + a * (1 - 2.0::DOUBLE / 21)) AS ema20 FROM macro)""")

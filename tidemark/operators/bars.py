@@ -19,6 +19,9 @@ from ..profile import Profile
 KEY = ("symbol", "session")
 FLOW = ("vol", "buy_vol", "sell_vol", "n")
 EMA_ALPHA = 2.0 / 21.0  # fixed: twenty-bar exponential average
+#: Decimals of a change of the average: flat closes change it by nothing, not by rounding noise,
+#: whose sign would decide verdicts.
+CHANGE_DECIMALS = 9
 
 
 def _in_session() -> Column:
@@ -323,14 +326,15 @@ def with_ema(macro: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     ago = F.lag("ema20", 3).over(w)
     if seeds is None:
         out = ewma(rows, KEY, "m_us", close, EMA_ALPHA, "ema20")
-        return out.withColumn("ema_change", F.col("ema20") - ago)
+        return out.withColumn("ema_change", F.round(F.col("ema20") - ago, CHANGE_DECIMALS))
     initial = seeds.select(*KEY, F.col("ema").alias("ema20"))
     out = ewma(rows, KEY, "m_us", close, EMA_ALPHA, "ema20", initial)
     out = out.join(seeds.select(*KEY, F.col("ema_tail").alias("_tail")), list(KEY), "left")
     # bar i (from 1) looks three values back, so the first three look into the tail
     at = F.row_number().over(w)
     earlier = F.when((at <= 3) & (F.size("_tail") + at >= 4), F.get("_tail", F.size("_tail") + at - 4))
-    return out.withColumn("ema_change", F.col("ema20") - F.coalesce(ago, earlier)).drop("_tail")
+    change = F.round(F.col("ema20") - F.coalesce(ago, earlier), CHANGE_DECIMALS)
+    return out.withColumn("ema_change", change).drop("_tail")
 
 
 def with_ema_slope(macro: DataFrame) -> DataFrame:
