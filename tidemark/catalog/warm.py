@@ -1,4 +1,7 @@
-"""The warmed-up tape: seeds from historical bars, and running state that goes on from them."""
+"""The warmed-up tape: seeds from historical bars, and running state that goes on from them.
+
+Averages are shown a little above themselves, so that exact ties round one way whatever the
+order of a sum was."""
 
 from __future__ import annotations
 
@@ -84,7 +87,7 @@ ASOF LEFT JOIN (SELECT * FROM quotes WHERE bid > 0 AND ask >= bid) q
 
 
 @query("warm_state", "wsided wseeds", """
-SELECT seq, side, round((coalesce(seed_pv, 0.0) + pv) / (coalesce(seed_v, 0) + v), 4) AS vwap,
+SELECT seq, side, round((coalesce(seed_pv, 0.0) + pv) / (coalesce(seed_v, 0) + v) + 1e-7, 4) AS vwap,
   greatest(seed_hi, hi) AS session_high, least(seed_lo, lo) AS session_low
 FROM (SELECT *, sum(CASE WHEN fl AND ts_us >= open_us THEN price * size ELSE 0.0 END) OVER w AS pv,
     sum(CASE WHEN fl AND ts_us >= open_us THEN size ELSE 0 END) OVER w AS v,
@@ -97,7 +100,7 @@ def warm_state(spark, sf_dir):
     t = warm_tape(spark, sf_dir)
     bars = B.with_bar_windows(t.filled, (), (), (), t.seeds)
     out = B.print_windows(t.sided, bars, P, ())
-    return out.select("seq", "side", r(F.col("vwap"), 4).alias("vwap"), "session_high", "session_low")
+    return out.select("seq", "side", r(F.col("vwap") + 1e-7, 4).alias("vwap"), "session_high", "session_low")
 
 
 # the bar blocks of the whole tape, over the prints of the warmed-up one
@@ -117,8 +120,8 @@ cte("wmacro", "wown", CTES["macro"][1].replace("FROM filled", "FROM wown"))
 
 
 @query("warm_trend", "wmacro ownhist pmhist", """
-SELECT symbol, session, m_us, round(close, 4) AS close, round(ema20, 6) AS ema20, round(ema_change, 6) AS ema_change
-FROM (SELECT *, ema20 - lag(ema20, 3) OVER (PARTITION BY symbol, session ORDER BY m_us) AS ema_change
+SELECT symbol, session, m_us, round(close, 4) AS close, round(ema20, 6) AS ema20, round(ema_change + 1e-10, 5) AS ema_change
+FROM (SELECT *, round(ema20 - lag(ema20, 3) OVER (PARTITION BY symbol, session ORDER BY m_us), 9) AS ema_change
   FROM (SELECT *, list_reduce(list(close) OVER (PARTITION BY symbol, session ORDER BY m_us
       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
       lambda a, x: x * (2.0::DOUBLE / 21) + a * (1 - 2.0::DOUBLE / 21)) AS ema20
@@ -129,7 +132,7 @@ WHERE shown""")
 def warm_trend(spark, sf_dir):
     t = warm_tape(spark, sf_dir)
     out = B.with_ema(t.macro, t.seeds)
-    return out.select(*K, "m_us", r(F.col("close"), 4).alias("close"), r(F.col("ema20")).alias("ema20"), r(F.col("ema_change")).alias("ema_change"))
+    return out.select(*K, "m_us", r(F.col("close"), 4).alias("close"), r(F.col("ema20")).alias("ema20"), r(F.col("ema_change") + 1e-10, 5).alias("ema_change"))
 
 
 # baselines of a tape that starts late: its own macro bars, and the bars of the sessions it missed
