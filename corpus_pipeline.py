@@ -64,7 +64,7 @@ STAGES = [
     ("mixing", mix_stage),
 ]
 
-#: Mixing draws by hashes that SQL elsewhere doesn't have; tests hold the stages against brute force.
+#: Mixing draws by hashes that SQL elsewhere doesn't have; the operators behind the stages have tests of their own.
 ORACLE_SQL = None
 
 
