@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tests.fixtures import SEC, T0
 from tidemark import DEFAULT, TUNED
 from tidemark.functions.scan import Running, ewma, running
-from tidemark.operators import arbiter, learn, metrics, outbox, quality, store
+from tidemark.operators import arbiter, gate as gate_op, learn, metrics, outbox, quality, store
 
 
 def outcomes(spark, n=400, seed=2):
@@ -103,7 +103,7 @@ def test_multipliers_equal_sequential_product(spark):
 def test_timeline_follows_gate_state(spark):
     rows, df = outcomes(spark)
     p = replace(DEFAULT, min_labels=10, revert_window=10, revert_precision_drop=0.05)
-    got = {r.seq: r for r in arbiter.gate_timeline(df, p).collect()}
+    got = {r.seq: r for r in gate_op.gate_timeline(df, p).collect()}
     gate = arbiter.GateState(p)
     for _, seq, s, b, label, late in rows:
         gate.learn((s, b), label, late)

@@ -6,9 +6,10 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from ..functions.durable import durable
 from ..functions.expr import ratio, r
 from ..functions.timefn import local_clock, us_ntz
-from ..operators import arbiter, decide, gates, learn, metrics, outbox, quality, store
+from ..operators import decide, gate, gates, learn, metrics, outbox, quality, store
 from ..plans import arbitration as A
 from ..profile import SECOND_US
 from ..sources import facts
@@ -36,24 +37,25 @@ FROM contend c LEFT JOIN resolved2 v USING ({_ID})
 LEFT JOIN (SELECT * FROM outcome2 WHERE risk > 0) o USING ({_ID})""")
 
 
-def fold_blocks(name: str, group: str, hour: int = 30, burst: int = 3) -> None:
+def fold_blocks(name: str, group: str, hour: int = 30, burst: int = 3, rows: str = "ready2") -> None:
     """A sequential fold as a recursive query: one candidate of every group per step.
 
     No session gathers enough labels here for the adaptive gate to become active, so the
-    multipliers stay at one."""
-    cte(f"{name}_line", "ready2", f"""
+    multipliers stay at one.  Rows other than ``ready2`` tell whether a model hides them."""
+    hidden = "false" if rows == "ready2" else "hidden"
+    cte(f"{name}_line", rows, f"""
 SELECT *, {group} AS grp, row_number() OVER (PARTITION BY {group}
-  ORDER BY ts_us, symbol, seq, pref) AS pos FROM ready2""")
+  ORDER BY ts_us, symbol, seq, pref) AS pos FROM {rows}""")
     cte(name, f"{name}_line", f"""RECURSIVE
 SELECT DISTINCT grp, 0::BIGINT AS pos, MAP()::MAP(VARCHAR, STRUCT(free BIGINT, price DOUBLE,
     dir INTEGER, alert BIGINT, n INTEGER, tr INTEGER)) AS st, []::BIGINT[] AS hist, false AS ok
 FROM {name}_line
 UNION ALL
 SELECT grp, pos, CASE WHEN ok THEN map_concat(st, MAP([symbol], [{{'free': coalesce(
-      resolution_us + CASE WHEN resolution = 'CONFIRMED' THEN 12 * $U ELSE 6 * $U END,
+      resolution_us + CASE WHEN {hidden} THEN 8 * $U WHEN resolution = 'CONFIRMED' THEN 12 * $U ELSE 6 * $U END,
       9000000000000000000::BIGINT), 'price': level_price, 'dir': direction, 'alert': ts_us,
-      'n': coalesce(s.n, 0) + 1, 'tr': coalesce(s.tr, 0) + is_trend::INTEGER}}])) ELSE st END,
-  CASE WHEN ok THEN list_append(hist, ts_us) ELSE hist END, ok
+      'n': coalesce(s.n, 0) + (NOT {hidden})::INTEGER, 'tr': coalesce(s.tr, 0) + is_trend::INTEGER}}])) ELSE st END,
+  CASE WHEN ok AND NOT {hidden} THEN list_append(hist, ts_us) ELSE hist END, ok
 FROM (SELECT *, ts_us >= coalesce(s.free, -1) AND NOT coalesce(s.dir = direction
       AND abs(level_price - s.price) / s.price * 1e4 < @re_arm_bps@, false)
     AND (NOT is_trend OR coalesce(s.tr, 0) < 2) AND coalesce(s.n, 0) < 12
@@ -68,6 +70,15 @@ fold_blocks("fold", "session::VARCHAR")
 fold_blocks("fold_sym", "session::VARCHAR || symbol")
 fold_blocks("fold_tight", "session::VARCHAR", hour=4, burst=1)
 TIGHT = replace(P, max_alerts_hour_total=4, max_alerts_burst=1)
+cte("scored2", "ready2", """
+SELECT *, CASE WHEN h >= 10 THEN h / 100.0::DOUBLE END AS prob,
+  CASE WHEN h % 7 > 0 THEN (h * 37 + 11) % 100 / 100.0::DOUBLE END AS efficacy_prob
+FROM (SELECT *, (seq * 7919 + ts_us // 1000000 + pref % 1000 * 31) % 100 AS h FROM ready2)""")
+cte("judged", "scored2", """
+SELECT *, coalesce(score < @prob_bypass_score@, false) AND (
+  coalesce(efficacy_prob < @efficacy_prob_gate_min@, false)
+  OR NOT is_trend AND coalesce(prob < @prob_gate_min@, false)) AS hidden FROM scored2""")
+fold_blocks("fold_gated", "session::VARCHAR", rows="judged")
 cte("won", "fold", "SELECT l.* FROM fold JOIN fold_line l USING (grp, pos) WHERE ok")
 _SID = "symbol || '-' || (ts_us // 1000) || CASE WHEN direction > 0 THEN '-U' ELSE '-D' END"
 
@@ -107,6 +118,28 @@ def signals_budget(spark, sf_dir):
     return out.select(sid.alias("signal_id"), "symbol", "session", "ts_us", "direction", "verdict")
 
 
+def stand_in_scores(rows):
+    """Model scores of the candidates by their ids, as a table of its own; some are missing."""
+    h = (F.col("seq") * 7919 + F.expr("ts_us div 1000000") + F.col("pref") % 1000 * 31) % 100
+    return rows.select(*A.ID, h.alias("h")).select(
+        *A.ID,
+        F.when(F.col("h") >= 10, F.col("h") / 100.0).alias("prob"),
+        F.when(F.col("h") % 7 > 0, (F.col("h") * 37 + 11) % 100 / 100.0).alias("efficacy_prob"),
+    )
+
+
+@query("signals_gated", "fold_gated", f"""
+SELECT {_SID} AS signal_id, symbol, session, ts_us, direction, is_trend, hidden AS suppressed,
+  prob, efficacy_prob FROM fold_gated JOIN fold_gated_line USING (grp, pos) WHERE ok""")
+def signals_gated(spark, sf_dir):
+    """Signals where given scores of both models hide some of them."""
+    t, rows, _ = _finished(spark, sf_dir)
+    out = A.signals(t, t.stage(A.with_scores(rows, stand_in_scores(rows)), "scored"))
+    return out.select(
+        "signal_id", "symbol", "session", "ts_us", "direction", "is_trend", "suppressed", "prob", "efficacy_prob"
+    )
+
+
 cte("lastsig", "gated fold", """
 SELECT symbol, session, ts_us, seq, pref, direction, level_price, gate_reason, NULL::BIGINT AS free,
   NULL::DOUBLE AS a_price, NULL::INTEGER AS a_dir FROM gated
@@ -452,7 +485,8 @@ def gate_timeline(spark, sf_dir):
     runs = s.select(
         F.col("signal_id").alias("seq"), F.concat_ws("-", "verb", quarter).alias("run_id")
     )
-    out = arbiter.gate_timeline(outcomes(spark, sf_dir).drop("run_id").join(runs, "seq"), P)
+    rows = outcomes(spark, sf_dir).drop("run_id").join(runs, "seq")
+    out = gate.gate_timeline(rows, P, stage=durable)
     return out.withColumn("mult", r(F.col("mult"), 9))
 
 

@@ -15,13 +15,18 @@ partitioning that the local window already produced.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+#: Rows of one key that a chunk of a numeric order holds at most.
+ROW_CHUNK = 4096
+
 
 @dataclass(frozen=True)
 class Running:
@@ -222,3 +227,108 @@ def ewma(
     return done.select(
         *df.columns, (F.pow(F.lit(keep), F.col("_p") + 1) * start + F.col("_l")).alias(out)
     )
+
+
+#: Clamped steps: beyond this factor every value in bounds ends at a bound.
+FAR = 1e9
+
+
+def _composed(keys: Sequence[str]):
+    """Prefix composition of the steps m -> min(max(m * f, lo), hi) in rows sorted by ``keys``:
+    doubling spans in each batch, one step carried to the next batch."""
+    keys = list(keys)
+
+    def after(a, b):
+        f = np.clip(a[0] * b[0], 1 / FAR, FAR)
+        return f, *(np.minimum(np.maximum(x * b[0], b[1]), b[2]) for x in a[1:])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried, here = None, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            names = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+            new = np.array([True, *(names[i] != names[i - 1] for i in range(1, n))])
+            begin = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+            step = tuple(np.array(batch.column(c)) for c in ("_f", "_lo", "_hi"))
+            span = 1
+            while span < n:
+                at = np.flatnonzero(np.arange(n) - begin >= span)
+                if not len(at):
+                    break
+                both = after(tuple(x[at - span] for x in step), tuple(x[at] for x in step))
+                for x, y in zip(step, both, strict=True):
+                    x[at] = y
+                span *= 2
+            if here == names[0]:
+                first = begin == 0
+                both = after(carried, tuple(x[first] for x in step))
+                for x, y in zip(step, both, strict=True):
+                    x[first] = y
+            carried, here = tuple(x[-1:] for x in step), names[-1]
+            columns = [pa.array(x) if c in ("_f", "_lo", "_hi") else batch.column(c) for c, x in _aligned(batch, step)]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return run
+
+
+def _aligned(batch: pa.RecordBatch, step):
+    by_name = dict(zip(("_f", "_lo", "_hi"), step, strict=True))
+    return [(c, by_name.get(c)) for c in batch.schema.names]
+
+
+def compose(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Replace each row's step (_f, _lo, _hi) by the composition of all its key's up to it."""
+    rows = df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, order)
+    return rows.mapInArrow(_composed(keys), df.schema)
+
+
+def clamped_ends(df: DataFrame, keys: Sequence[str], chunk: str, order: str, factor: Column, low: float, high: float) -> tuple[DataFrame, DataFrame]:
+    """Rows with the composed step of their chunk up to them, and one row a chunk with the whole's."""
+    bounds = {"_f": factor, "_lo": F.lit(low), "_hi": F.lit(high)}
+    local = compose(df.withColumns(bounds), [*keys, chunk], order)
+    last = [F.max_by(c, order).alias(c) for c in bounds]
+    return local, local.groupBy(*keys, chunk).agg(*last)
+
+
+def _apply(value: Column) -> Column:
+    return F.least(F.greatest(value * F.col("_f"), F.col("_lo")), F.col("_hi"))
+
+
+def clamped(
+    df: DataFrame,
+    keys: Sequence[str],
+    chunk: str,
+    order: str,
+    factor: Column,
+    low: float,
+    high: float,
+    out: str,
+    initial: DataFrame | None = None,
+) -> DataFrame:
+    """Running product of ``factor`` per key from 1.0, clamped to [low, high] after every row.
+
+    The clamp makes order matter, but the steps compose to the same form, so a key is split
+    into chunks: composed inside each, one row a chunk composed over the key, joined on equality.
+    ``initial``: a row per key with the product so far in a column named ``out``."""
+    keys = list(keys)
+    local, ends = clamped_ends(df, keys, chunk, order, factor, low, high)
+    whole = compose(ends, keys, chunk)
+    before = W.partitionBy(*keys).orderBy(chunk)
+    carry = whole.select(*keys, chunk, *[F.lag(c).over(before).alias(f"_c{c}") for c in ("_f", "_lo", "_hi")])
+    start = F.lit(1.0)
+    if initial is not None:
+        carry = carry.join(initial.select(*keys, F.col(out).alias("_start")), keys, "left")
+        start = F.coalesce("_start", F.lit(1.0))
+    moved = F.least(F.greatest(start * F.col("_c_f"), F.col("_c_lo")), F.col("_c_hi"))
+    carry = carry.select(*keys, chunk, F.when(F.col("_c_f").isNull(), start).otherwise(moved).alias("_from"))
+    return local.join(carry, [*keys, chunk]).select(*df.columns, _apply(F.col("_from")).alias(out))
+
+
+def clamped_last(df: DataFrame, keys: Sequence[str], chunk: str, order: str, factor: Column, low: float, high: float, out: str) -> DataFrame:
+    """The value of ``clamped`` at each key's last row."""
+    keys = list(keys)
+    _, ends = clamped_ends(df, keys, chunk, order, factor, low, high)
+    last = compose(ends, keys, chunk).groupBy(*keys).agg(*[F.max_by(c, chunk).alias(c) for c in ("_f", "_lo", "_hi")])
+    return last.select(*keys, _apply(F.lit(1.0)).alias(out))

@@ -63,6 +63,15 @@ def finished(t: Tape, run_id: str = "run") -> DataFrame:
     )
 
 
+def with_scores(rows: DataFrame, scores: DataFrame) -> DataFrame:
+    """``finished`` rows with the models' probabilities (``prob``, ``efficacy_prob``) from a table
+    of scores by candidate (``ID``; with ``run_id`` where runs differ).  A candidate without a
+    score keeps a null and is never suppressed for it; of repeated scores the lowest counts."""
+    key = [c for c in ("run_id", *ID) if c in scores.columns]
+    one = scores.groupBy(*key).agg(F.min("prob").alias("prob"), F.min("efficacy_prob").alias("efficacy_prob"))
+    return rows.drop("prob", "efficacy_prob").join(one, key, "left")
+
+
 def signals(t: Tape, rows: DataFrame, **options) -> DataFrame:
     """Accepted rows with their signal id; ``options`` go to the arbitration.
 
