@@ -19,7 +19,7 @@ CONDS = " ".join(
 )
 PAIRS = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in V.QUOTE_PAIR.items())
 
-cte("ticks", "", f"""
+TICKS = f"""
 SELECT event_type AS symbol, epoch_us(ts) // $D AS session, epoch_us(ts) AS ts_us, event_id AS seq,
   CASE WHEN value > 0 THEN round(100 + value / 100, 4) ELSE 0.0 END AS price,
   CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS size,
@@ -27,7 +27,8 @@ SELECT event_type AS symbol, epoch_us(ts) // $D AS session, epoch_us(ts) AS ts_u
   epoch_us(ts) + CAST(regexp_extract(props, '[0-9]+') AS BIGINT) * 60000000 AS arr_us,
   user_id % 4 AS exchange, event_id AS trade_id,
   epoch_us(ts) // $D * $D + $O AS open_us, (epoch_us(ts) // $D + 1) * $D AS close_us
-FROM events""")
+FROM events"""
+cte("ticks", "", TICKS)
 cte("flagged", "ticks", """
 SELECT *, list_has_any(conds, ['M','Q','9']) AS admin,
   NOT list_has_any(conds, ['I','W','4','7','T','U','Z','L','P','R','C','H','G','N','V']) AS ul,

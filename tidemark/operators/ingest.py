@@ -175,6 +175,7 @@ def feed_health(prints: DataFrame, p: Profile) -> DataFrame:
         .agg(
             F.count("*").alias("prints"),
             F.sum(F.col("arr_us") - F.col("ts_us")).alias("_lag"),
+            F.min("arr_us").alias("first_arr_us"),
             F.max("arr_us").alias("last_arr_us"),
         )
         .withColumn("lag_units", F.col("_lag") / F.col("prints") / p.unit_us)
@@ -189,6 +190,52 @@ def feed_health(prints: DataFrame, p: Profile) -> DataFrame:
     )
 
 
+def health_changes(prints: DataFrame, p: Profile) -> DataFrame:
+    """(session, at_us, alerts_enabled, cause): the instants at which alerts are switched off or on.
+
+    Before a session's first row they are on.  The latency average of a unit of arrival time counts
+    from that unit's end.  Silence begins right after the longest allowed wait and ends with the next
+    arrival, so there are rows inside it, also after the last arrival.  ``cause`` is ``latency``,
+    ``silence`` (which goes first) or null.  A session has a few rows a unit at most, however many prints."""
+    c, wait = F.col, p.us(p.feed_silence)
+    units = feed_health(prints, p)
+    w = W.partitionBy("session").orderBy("b_us")
+    units = units.withColumn("_next", F.lead("first_arr_us").over(w))
+    quiet = F.coalesce(c("_next") - c("last_arr_us") > wait, F.lit(True))
+    none = F.lit(None).cast("boolean")
+    events = F.array(
+        F.struct((c("b_us") + p.unit_us).alias("at_us"), (c("latency") > p.feed_latency_max).alias("slow"), none.alias("silent")),
+        F.when(quiet, F.struct((c("last_arr_us") + wait + 1).alias("at_us"), none.alias("slow"), F.lit(True).alias("silent"))),
+        F.when(quiet & c("_next").isNotNull(), F.struct(c("_next").alias("at_us"), none.alias("slow"), F.lit(False).alias("silent"))),
+    )
+    rows = units.select("session", F.explode(F.array_compact(events)).alias("_e")).select("session", "_e.*")
+    # an arrival at the very instant silence would begin ends it
+    rows = rows.groupBy("session", "at_us").agg(F.max("slow").alias("slow"), F.min("silent").alias("silent"))
+    upto = W.partitionBy("session").orderBy("at_us")
+    slow, silent = (F.coalesce(F.last(x, ignorenulls=True).over(upto), F.lit(False)) for x in ("slow", "silent"))
+    state = F.when(silent, "silence").when(slow, "latency")
+    told = rows.select("session", "at_us", state.alias("cause"))
+    changed = ~c("cause").eqNullSafe(F.lag("cause").over(upto))
+    return told.withColumn("_new", changed).filter("_new").select(
+        "session", "at_us", c("cause").isNull().alias("alerts_enabled"), "cause"
+    )
+
+
+def alertable(rows: DataFrame, changes: DataFrame, p: Profile, at: str = "arr_us") -> DataFrame:
+    """Rows at whose instant ``at`` alerts were on (see :func:`health_changes`); a change counts from
+    its own instant.  Rows without an instant have nothing that speaks against them.
+
+    A chunked as-of scan: rows of a session meet its changes in time chunks, not in one task."""
+    c = F.col
+    marks = changes.select("session", c("at_us").alias("_at"), "alerts_enabled", F.lit(0).alias("_side"))
+    both = rows.withColumns({"_at": c(at), "_side": F.lit(1)}).unionByName(marks, allowMissingColumns=True)
+    both = both.withColumn("_chunk", floor_us(c("_at"), p.macro_us))
+    on = Running("_on", "last", F.when(c("_side") == 0, c("alerts_enabled")))
+    seen = running(both, ["session"], "_chunk", ["_at", "_side"], [on])
+    open_ = F.coalesce("_on", F.lit(True)) | c("_at").isNull()
+    return seen.filter((c("_side") == 1) & open_).select(*rows.columns)
+
+
 def merge_tape(trades: DataFrame, quotes: DataFrame, context: DataFrame) -> DataFrame:
     """One ordered event stream: trades, then quotes, then context prints at a tie.
 

@@ -18,7 +18,7 @@ from ..operators import bars as B
 from ..operators import baseline as base
 from ..operators import context as ctx
 from ..operators import gates, levels, resolve, session, sides, snapshot, sweeps, trend, warmup
-from ..operators.ingest import clean, late_demote, rebucket_late
+from ..operators.ingest import alertable, clean, late_demote, rebucket_late
 from ..profile import Profile
 
 KEY = ["symbol", "session"]
@@ -29,7 +29,9 @@ class Tape:
     """Inputs of a run: raw prints, quotes, the session calendar and a profile; with
     ``warm`` sessions go on from historical bars at the instant their tape starts.  With
     ``late`` the tape is taken as it arrived: late prints keep their volume only, and count in
-    the bucket that was open when they came, as in the stream."""
+    the bucket that was open when they came, as in the stream.  Where ``health`` (rows of
+    ``health_changes``) has alerts switched off, and from prints flagged ``is_backfill``, no
+    candidate starts; such prints still make bars, levels and verdicts."""
 
     prints: DataFrame
     quotes: DataFrame
@@ -40,6 +42,7 @@ class Tape:
     cut: bool = True
     warm: warmup.WarmUp | None = None
     late: bool = False
+    health: DataFrame | None = None
 
     def stage(self, df: DataFrame, name: str) -> DataFrame:
         return durable(df, name) if self.cut else df
@@ -227,7 +230,12 @@ class Tape:
 
     @cached_property
     def snapshots(self) -> DataFrame:
-        cands = snapshot.candidates(self.leveled, self.reclaims, self.profile)
+        rows = self.leveled
+        if "is_backfill" in rows.columns:
+            rows = rows.filter(~F.coalesce("is_backfill", F.lit(False)))
+        if self.health is not None:
+            rows = alertable(rows, self.health, self.profile)
+        cands = snapshot.candidates(rows, self.reclaims, self.profile)
         return snapshot.snapshots(cands, self.profile)
 
     @cached_property
@@ -241,7 +249,8 @@ class Tape:
 
     @cached_property
     def trends(self) -> DataFrame:
-        return trend.trend_onset(self.bar_state, self.static, self.profile)
+        out = trend.trend_onset(self.bar_state, self.static, self.profile)
+        return out if self.health is None else alertable(out, self.health, self.profile, "ts_us")
 
     @cached_property
     def observations(self) -> DataFrame:
