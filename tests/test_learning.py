@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import shutil
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from tests.fixtures import SEC, T0
 from tidemark import DEFAULT, TUNED
 from tidemark.functions.scan import Running, ewma, running
 from tidemark.operators import arbiter, gate as gate_op, learn, metrics, outbox, quality, store
+from tidemark.plans import arbitration
 
 
 def outcomes(spark, n=400, seed=2):
@@ -140,6 +142,34 @@ def test_walkforward_uses_only_the_past(spark):
     assert all(one[i] == two[i] for i in range(600))  # later labels change nothing here
 
 
+def test_a_run_goes_on_with_its_kept_models(spark, tmp_path):
+    rng = random.Random(11)
+    rows = [(i, i // 20, 1 if i % 2 else -1, x, x + rng.gauss(0, 0.2) > 0.5, True) for i in range(1000) for x in (rng.random(),)]
+    df = spark.createDataFrame(rows, "id bigint, session bigint, direction int, x double, label boolean, ready boolean")
+    p, keep = replace(TUNED, min_labels=20), str(tmp_path / "models")
+    probs = lambda out: {r.id: r.prob for r in out.collect()}
+    whole = probs(learn.walkforward_scores(df, ("x",), p, 25, 0, 49))
+    early = probs(learn.walkforward_scores(df.filter("session < 30"), ("x",), p, 25, 0, 29, keep=keep))
+    assert early == {i: x for i, x in whole.items() if i < 600}
+    # labels that changed since: kept models do not follow them, models without a marker would
+    other = df.withColumn("label", F.when(F.col("session") < 25, ~F.col("label")).otherwise(F.col("label")))
+    assert probs(learn.walkforward_scores(other, ("x",), p, 25, 0, 49, keep=keep)) == whole
+    shutil.rmtree(tmp_path / "models" / "direction=1" / "session=25" / "whole")
+    again = probs(learn.walkforward_scores(other, ("x",), p, 25, 0, 49, keep=keep))
+    assert all((again[i] == whole[i]) == (i % 2 == 0) for i in range(500, 1000))
+
+
+def test_scores_join_the_candidates(spark):
+    """Missing scores stay null, repeated ones count once, runs may differ."""
+    ids = "symbol string, session bigint, ts_us bigint, seq bigint, pref bigint"
+    rows = spark.createDataFrame([("r", "X", 1, t, 0, 0, None, None) for t in (1, 2, 3)], f"run_id string, {ids}, prob double, efficacy_prob double")
+    scores = spark.createDataFrame([("X", 1, 1, 0, 0, 0.9, None), ("X", 1, 1, 0, 0, 0.2, 0.7), ("X", 1, 2, 0, 0, None, 0.1), ("Y", 1, 3, 0, 0, 0.5, 0.5)], f"{ids}, prob double, efficacy_prob double")
+    got = {r.ts_us: (r.prob, r.efficacy_prob) for r in arbitration.with_scores(rows, scores).collect()}
+    assert got == {1: (0.2, 0.7), 2: (None, 0.1), 3: (None, None)}
+    own = scores.withColumn("run_id", F.lit("other"))
+    assert {r.prob for r in arbitration.with_scores(rows, own).collect()} == {None}
+
+
 def test_latest_and_daily_payload(spark, tmp_path):
     facts = spark.createDataFrame(
         [(1, 1, "a"), (1, 3, "c"), (1, 2, "b"), (2, 1, "z")], "id int, version int, v string"
