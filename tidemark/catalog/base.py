@@ -81,6 +81,8 @@ def outage_tape(spark: SparkSession, sf_dir: str) -> Tape:
 
 def cte(name: str, needs: str, body: str) -> None:
     """Define a named SQL block; ``$U`` and friends become grid constants."""
+    if name in CTES:
+        raise ValueError(f"block {name} is defined twice")
     CTES[name] = (tuple(needs.split()), fill(body))
 
 

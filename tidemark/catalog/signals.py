@@ -74,11 +74,11 @@ cte("scored2", "ready2", """
 SELECT *, CASE WHEN h >= 10 THEN h / 100.0::DOUBLE END AS prob,
   CASE WHEN h % 7 > 0 THEN (h * 37 + 11) % 100 / 100.0::DOUBLE END AS efficacy_prob
 FROM (SELECT *, (seq * 7919 + ts_us // 1000000 + pref % 1000 * 31) % 100 AS h FROM ready2)""")
-cte("judged", "scored2", """
+cte("screened", "scored2", """
 SELECT *, coalesce(score < @prob_bypass_score@, false) AND (
   coalesce(efficacy_prob < @efficacy_prob_gate_min@, false)
   OR NOT is_trend AND coalesce(prob < @prob_gate_min@, false)) AS hidden FROM scored2""")
-fold_blocks("fold_gated", "session::VARCHAR", rows="judged")
+fold_blocks("fold_gated", "session::VARCHAR", rows="screened")
 cte("won", "fold", "SELECT l.* FROM fold JOIN fold_line l USING (grp, pos) WHERE ok")
 _SID = "symbol || '-' || (ts_us // 1000) || CASE WHEN direction > 0 THEN '-U' ELSE '-D' END"
 
