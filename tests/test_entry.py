@@ -10,7 +10,8 @@ from tidemark.catalog import registry
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = ("parse_wire", "late_demote", "gap_backfill", "micro_bars", "session_vwap",
-          "merge_levels", "gate_reason", "signals", "perf_slices", "outbox")
+          "merge_levels", "gate_reason", "signals", "perf_slices", "outbox",
+          "gate_timeline", "signals_gated", "health_changes", "candidates_alertable")
 
 
 def test_every_oracle_belongs_to_a_query():

@@ -73,7 +73,7 @@ TIGHT = replace(P, max_alerts_hour_total=4, max_alerts_burst=1)
 cte("scored2", "ready2", """
 SELECT *, CASE WHEN h >= 10 THEN h / 100.0::DOUBLE END AS prob,
   CASE WHEN h % 7 > 0 THEN (h * 37 + 11) % 100 / 100.0::DOUBLE END AS efficacy_prob
-FROM (SELECT *, (seq * 7919 + ts_us // 1000000 + pref % 1000 * 31) % 100 AS h FROM ready2)""")
+FROM (SELECT *, (seq * 7919 + ts_us // 1000000 + ts_us // $U * 13 + pref % 1000 * 31) % 100 AS h FROM ready2)""")
 cte("screened", "scored2", """
 SELECT *, coalesce(score < @prob_bypass_score@, false) AND (
   coalesce(efficacy_prob < @efficacy_prob_gate_min@, false)
@@ -120,7 +120,7 @@ def signals_budget(spark, sf_dir):
 
 def stand_in_scores(rows):
     """Model scores of the candidates by their ids, as a table of its own; some are missing."""
-    h = (F.col("seq") * 7919 + F.expr("ts_us div 1000000") + F.col("pref") % 1000 * 31) % 100
+    h = (F.col("seq") * 7919 + F.expr(f"ts_us div 1000000 + ts_us div {P.unit_us} * 13") + F.col("pref") % 1000 * 31) % 100
     return rows.select(*A.ID, h.alias("h")).select(
         *A.ID,
         F.when(F.col("h") >= 10, F.col("h") / 100.0).alias("prob"),
