@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import functions as F
-
 from tidemark.operators import snapshot
 from tidemark.sources.views import EVENTS_PROFILE as P
 
@@ -51,3 +49,14 @@ def test_persistence_does_not_reread_its_window(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert have == slow_persistence(rows)
+
+
+def test_candidates_are_not_written_whole(spark):
+    """What outgrows the tape is read where it is needed; only promising candidates are written."""
+    from tidemark.catalog import base
+
+    t = base.tape(spark, "/root/testdata/sf0.001")
+    read = t.evaluated.inputFiles()
+    assert read and not any("/evaluated-" in f for f in read)
+    assert t.promising.count() < t.evaluated.count()
+    assert t.promising.filter("gate_reason is null").count() == t.evaluated.filter("gate_reason is null").count()
