@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import random
+from dataclasses import replace
+
+import pytest
 
 from tidemark.operators import snapshot
 from tidemark.sources.views import EVENTS_PROFILE as P
@@ -51,6 +54,21 @@ def test_persistence_does_not_reread_its_window(spark):
     assert have == slow_persistence(rows)
 
 
+@pytest.mark.parametrize("name", ["signals", "signals_gated"])
+def test_signals_keep_to_their_statement_where_labels_gather(spark, monkeypatch, name):
+    """Every label would wake the adaptive multipliers; the statements hold them at one."""
+    import __spark_entry__ as entry
+    import oracle
+    from tidemark.catalog import base, signals
+
+    sf = "/root/testdata/sf0.01"
+    t = base.tape(spark, sf)
+    monkeypatch.setattr(t, "profile", replace(t.profile, min_labels=1))
+    monkeypatch.setattr(signals, "_FINISHED", {})
+    ok, message, _ = oracle.compare(spark, oracle.duck(sf), name, entry.queries()[name], entry.oracle_sql()[name], sf)
+    assert ok, message
+
+
 def test_candidates_are_not_written_whole(spark):
     """What outgrows the tape is read where it is needed; only promising candidates are written."""
     from tidemark.catalog import base
