@@ -78,3 +78,48 @@ def test_candidates_are_not_written_whole(spark):
     assert read and not any("/evaluated-" in f for f in read)
     assert t.promising.count() < t.evaluated.count()
     assert t.promising.filter("gate_reason is null").count() == t.evaluated.filter("gate_reason is null").count()
+
+
+def test_what_no_level_changes_is_not_worked_out_per_candidate(spark):
+    """Gates of a print are read with it, and prints that fail on their own meet no reclaims."""
+    from tidemark.catalog import base
+
+    t = base.tape(spark, "/root/testdata/sf0.001")
+    assert any("/ways-" in f for f in t.evaluated.select("gate_reason").inputFiles())
+    plan = t.evaluated.select("seq", "gate_reason")._jdf.queryExecution().optimizedPlan().toString()
+    assert "vel15" not in plan and "persist_trades" not in plan
+    # one row a print and direction, however many levels it meets
+    prints = t.leveled.filter(snapshot.may_evaluate()).count()
+    assert t.ways.count() == 2 * prints < t.evaluated.count() + 2 * prints
+    some = t.judged(t.ways.filter("way_reason is null")).filter("gate_reason is null").count()
+    assert some == t.evaluated.filter("gate_reason is null").count()
+
+
+def test_fresh_reclaims_meet_prints_in_slices(spark):
+    """Every fresh reclaim once, also where slices end, and none of the other direction."""
+    from tidemark.operators import sweeps
+
+    span = 4 * P.us(P.reclaim_age_s)
+    prints = spark.range(0, span, span // 400).selectExpr("'A' symbol", "1L session", "id ts_us", "id seq")
+    again = prints.selectExpr("symbol", "session", "ts_us", "seq", "1.0D level", "0 kind", "1 direction")
+    out = sweeps.active_reclaims(prints, again, P)
+    age = P.us(P.reclaim_age_s)
+    at = [r.ts_us for r in prints.collect()]
+    assert out.count() == sum(a <= b <= a + age for a in at for b in at)
+    other = sweeps.active_reclaims(prints.selectExpr("*", "-1 direction"), again, P)
+    assert other.count() == 0
+
+
+@pytest.mark.parametrize("digits", [4, 6])
+def test_quick_rounding_is_round(spark, digits):
+    from pyspark.sql import functions as F
+
+    from tidemark.functions.expr import r, r_many
+
+    rng = random.Random(3)
+    rows = [(rng.uniform(-1, 1) * 10 ** rng.uniform(-9, 14),) for _ in range(3000)]
+    rows += [(round(rng.uniform(-9, 9), digits) + s * 5 / 10 ** (digits + 1),) for _ in range(3000) for s in (1, -1)]
+    rows += [(v,) for v in (0.0, -0.0, -1e-12, float("nan"), float("inf"), -float("inf"), 1e300, None)]
+    x = F.col("x")
+    both = spark.createDataFrame(rows, "x double").select(r(x, digits).alias("a"), r_many(x, digits).alias("b"))
+    assert both.filter("cast(a as string) is distinct from cast(b as string)").count() == 0

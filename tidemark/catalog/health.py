@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.expr import r
+from ..functions.expr import r, r_many
 from .base import HEALTH, OUTAGE_US, cte, outage_tape, query
 from .ingest import TICKS
 
@@ -52,9 +52,9 @@ ASOF LEFT JOIN (SELECT session, at_us, cause FROM changes) h ON t.session = h.se
 WHERE h.cause IS NULL""", swap={"ticks": "outage_ticks"})
 def candidates_alertable(spark, sf_dir):
     """Candidates of live prints while alerts are on; bars and levels know the fetched ones as well."""
-    out = outage_tape(spark, sf_dir).snapshots
+    out = outage_tape(spark, sf_dir).evaluated
     return out.select(
-        "seq", "pref", "direction", r(F.col("level_price")).alias("level_price"), "level_kind", "is_reclaim"
+        "seq", "pref", "direction", r_many(F.col("level_price")).alias("level_price"), "level_kind", "is_reclaim"
     )
 
 
