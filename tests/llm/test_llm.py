@@ -344,3 +344,24 @@ def test_pipeline(spark):
             assert {r.doc_id for r in out.collect()} == kept
         assert stage(spark, docs.limit(0), d).count() == 0, name
     assert C.run(spark, d).columns == [*C.COLUMNS, "copy"]
+
+
+def test_toxicity_sums_lists_without_a_slice_a_term():
+    """Lists are summed in one go: a query of many rare terms makes no piece of its own for each."""
+    import numpy as np
+
+    from tidemark.llm import toxicity as T
+
+    rng, terms, docs = np.random.default_rng(5), 20_000, 400
+    has = [np.unique(rng.integers(0, terms, 300)) for _ in range(docs)]
+    ex = np.repeat(np.arange(docs), [len(x) for x in has])
+    index = T.Index(T.Terms(np.arange(terms)), np.ones(terms), np.arange(docs), np.arange(docs) % 2, (ex, np.concatenate(has), np.ones(len(ex), int)))
+    index.open()
+    assert index.lists[0].dtype == np.intp  # no cast at every sum
+    q = np.arange(terms)
+    w = np.full(terms, 1 / np.sqrt(terms))
+    plain = np.round([w[x].sum() / np.sqrt(len(x)) for x in has], 12)
+    place, score = index.nearest(q, w, 25)
+    order = np.lexsort((np.arange(docs), -plain))[:25]
+    assert np.allclose(score, plain[order], atol=2e-12) and set(place) == set(order)
+    assert len(index.nearest(q[:0], w[:0], 25)[0]) == 0

@@ -152,7 +152,7 @@ class Index:
         order = np.argsort(self.term, kind="stable")
         has = np.bincount(self.term, minlength=len(self.idf))
         self.begin = np.concatenate([[0], np.cumsum(has)])
-        self.lists = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.edge))[order], self.weight[order]
+        self.lists = np.repeat(np.arange(len(self.ids)), np.diff(self.edge))[order], self.weight[order]
         often = np.flatnonzero(has * FREQUENT > len(self.ids))
         self.column = np.full(len(self.idf), -1, np.int64)
         self.column[often] = np.arange(len(often))
@@ -182,21 +182,23 @@ class Index:
         ``begun`` is the query's row of ``frequent``."""
         begun = self.frequent([(terms, weights)])[0] if begun is None else begun
         few = self.column[terms] < 0
-        spans = [slice(a, b) for a, b in zip(self.begin[terms[few]], self.begin[terms[few] + 1], strict=True)]
+        start, size = self.begin[terms[few]], self.begin[terms[few] + 1] - self.begin[terms[few]]
         total = begun.astype(np.float64)
-        if spans:
-            at = np.concatenate([self.lists[0][x] for x in spans])
-            own = np.concatenate([self.lists[1][x] for x in spans])
-            total += np.bincount(at, own * np.repeat(weights[few], [x.stop - x.start for x in spans]), len(total))
+        if len(size):
+            cell = np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
+            total += np.bincount(self.lists[0][cell], self.lists[1][cell] * np.repeat(weights[few], size), len(total))
         if but is not None:
             total[np.searchsorted(self.ids, but) : np.searchsorted(self.ids, but, "right")] = 0
         least = np.partition(total, -k)[-k] if len(total) > k else 0.0
         place = np.flatnonzero((total > 0) & (total >= least - SLACK))
-        size = self.edge[place + 1] - self.edge[place]
-        owner = np.repeat(np.arange(len(place)), size)
-        cell = np.arange(size.sum()) + np.repeat(self.edge[place] - np.concatenate([[0], np.cumsum(size)[:-1]]) if len(place) else size, size)
+        if not len(place):
+            return place, np.zeros(0)
+        spans = [slice(a, b) for a, b in zip(self.edge[place].tolist(), self.edge[place + 1].tolist(), strict=True)]
+        first = np.concatenate([[0], np.cumsum([x.stop - x.start for x in spans[:-1]], dtype=np.int64)])
         self.query[terms] = weights
-        score = np.round(np.bincount(owner, self.query[self.term[cell]] * self.weight[cell], len(place)), 12)
+        product = self.query[np.concatenate([self.term[x] for x in spans])]
+        product *= np.concatenate([self.weight[x] for x in spans])
+        score = np.round(np.add.reduceat(product, first), 12)
         self.query[terms] = 0
         best = np.lexsort((place, -score))[:k]
         best = best[score[best] > 0]
@@ -273,8 +275,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out, max_examples: int = M
     known = examples.mapInArrow(vectors, "doc_id long, toxic int, t array<int>, c array<int>").orderBy("doc_id", "t", "c").toArrow()
     lists = [known.column(k).combine_chunks() for k in ("t", "c")]
     size = np.asarray(lists[0].value_lengths(), np.int64)
-    flat = [np.asarray(x.flatten(), np.int64) for x in lists]
-    index = Index(terms, idf, known.column("doc_id").to_pylist(), known.column("toxic").to_pylist(), (np.repeat(np.arange(len(size)), size), *flat))
+    flat = [np.asarray(x.flatten(), np.int32) for x in lists]
+    owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    index = Index(terms, idf, known.column("doc_id").to_pylist(), known.column("toxic").to_pylist(), (owner, *flat))
+    del known, lists, flat, owner  # the driver keeps the index alone
     shared = spark.sparkContext.broadcast(index)
 
     def without_self(batches):
