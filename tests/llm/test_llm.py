@@ -365,3 +365,74 @@ def test_toxicity_sums_lists_without_a_slice_a_term():
     order = np.lexsort((np.arange(docs), -plain))[:25]
     assert np.allclose(score, plain[order], atol=2e-12) and set(place) == set(order)
     assert len(index.nearest(q[:0], w[:0], 25)[0]) == 0
+
+
+def test_toxicity_finds_terms_by_leading_bits():
+    """The same places as a plain search, also where many keys share their leading bits."""
+    import numpy as np
+
+    from tidemark.llm import toxicity as T
+
+    rng = np.random.default_rng(7)
+    top = np.iinfo(np.uint64).max
+    for keys in (rng.integers(0, top, 3000, np.uint64), np.arange(500, dtype=np.uint64), np.array([0, 5, top], np.uint64), np.array([], np.uint64)):
+        terms = T.Terms(keys.view(np.int64))
+        h = np.concatenate([keys, keys + np.uint64(1), rng.integers(0, top, 2000, np.uint64), np.array([0, top], np.uint64)])
+        at, ok = terms.find(h)
+        assert np.array_equal(at, np.searchsorted(terms.keys, h)) and np.array_equal(ok, np.isin(h, keys))
+
+
+def test_toxicity_index_is_small():
+    """Sent: a term and a small count a cell; opened: eight bytes a cell of the lists. Nothing is lost by it."""
+    import numpy as np
+
+    from tidemark.llm import toxicity as T
+
+    rng = np.random.default_rng(9)
+    ex, term = np.nonzero(rng.random((300, 900)) < 0.02)
+    index = T.Index(T.Terms(np.arange(900)), rng.uniform(1, 5, 900), np.arange(300), np.arange(300) % 2, (ex, term, rng.integers(1, 4, len(ex)))).open()
+    assert sum(x.nbytes for x in index.lists) == 8 * len(index.term)
+    sent = index.__getstate__()
+    assert sent["count"].itemsize == 1 and sum(x.nbytes for x in sent.values() if isinstance(x, np.ndarray) and len(x) == len(ex)) == 5 * len(ex)
+    dense = np.zeros((len(index.ids), 900))
+    dense[np.repeat(np.arange(len(index.ids)), np.diff(index.edge)), index.term] = index.weight
+    for i in range(0, len(dense), 7):
+        t = np.flatnonzero(dense[i])
+        full = np.round(dense @ dense[i], 12)
+        full[i] = 0
+        order = np.lexsort((np.arange(len(full)), -full))[:25]
+        place, score = index.nearest(t, dense[i, t], 25, but=index.ids[i])
+        order = order[full[order] > 0]
+        assert np.allclose(score, full[order], atol=2e-12) and set(place[score > score[-1]]) <= set(order)
+
+
+def test_toxicity_judges_each_example_once(spark):
+    """No exchange by ranges above the examples' votes: Spark runs what lies below one twice."""
+    import numpy as np
+
+    from tidemark.llm import toxicity as T
+
+    words = np.array([T.words_in(np.frombuffer(x, np.uint8), np.array([0, len(x)])).hashes()[0] for x in (b"idiot", b"calm", b"day")]).view(np.int64)
+    terms = T.Terms(words)
+    texts = ["idiot day", "calm day", "idiot", "calm calm", "nothing known"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    off = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+    index = T.Index(terms, np.array([2.0, 2.0, 1.0])[np.argsort(words.view(np.uint64))], range(5), [1, 0, 1, 0, 0], terms.counts(data, off))
+    examples = spark.createDataFrame([(i, int("idiot" in x), x) for i, x in enumerate(texts)], "doc_id long, toxic int, text string")
+    out = T.own_votes(examples, spark.sparkContext.broadcast(index))
+    got = sorted((r.v, r.y) for r in out.collect())
+    assert len(got) == 4  # a text without a term has no vote
+    assert max(v for v, y in got if not y) < min(v for v, y in got if y)
+    assert "rangepartitioning" not in out._jdf.queryExecution().toString()
+
+
+def test_toxicity_fit_does_not_hang_on_order():
+    import numpy as np
+
+    from tidemark.llm import toxicity as T
+
+    rng = np.random.default_rng(4)
+    v, y = rng.integers(0, 6, 400) / 6, rng.integers(0, 2, 400).astype(float)
+    mixed = rng.permutation(400)
+    for a, b in zip(T.monotone(v, y), T.monotone(v[mixed], y[mixed]), strict=True):
+        assert np.array_equal(a, b)
