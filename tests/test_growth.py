@@ -5,9 +5,13 @@ from __future__ import annotations
 import random
 from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.operators import snapshot
+from tidemark.operators import resolve, snapshot
+from tidemark.profile import DEFAULT
 from tidemark.sources.views import EVENTS_PROFILE as P
 
 U = P.unit_us
@@ -123,3 +127,54 @@ def test_quick_rounding_is_round(spark, digits):
     x = F.col("x")
     both = spark.createDataFrame(rows, "x double").select(r(x, digits).alias("a"), r_many(x, digits).alias("b"))
     assert both.filter("cast(a as string) is distinct from cast(b as string)").count() == 0
+
+
+def test_candidates_are_never_broadcast(spark, tmp_path):
+    """Small files of candidates hold many rows, and each comes once for every chunk it touches."""
+    kinds = "symbol string, session bigint, ts_us bigint, seq bigint, pref bigint, direction int, price double, level_price double, invalidation double"
+    spark.createDataFrame([("X", 1, 0, 0, 0, 1, 1.0, 1.0, 0.9)], kinds).write.parquet(f"{tmp_path}/cands")
+    cands = spark.read.parquet(f"{tmp_path}/cands")
+    c = F.col
+    bars = spark.range(10**9).select(
+        F.lit("X").alias("symbol"), F.lit(1).cast("long").alias("session"), (c("id") * 10**6).alias("b_us"),
+        c("id").cast("double").alias("high"), c("id").cast("double").alias("low"))
+    for out in (resolve.watched_buckets(cands, bars, DEFAULT), resolve.label_outcomes(cands, bars, DEFAULT)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan, plan
+
+
+def test_verdicts_do_not_depend_on_blocks(spark, monkeypatch):
+    """Many prints of one bucket against many candidates: the same verdicts in blocks of any size,
+    and those of a loop over the prints."""
+    p = DEFAULT
+    rng = np.random.default_rng(3)
+    n, m = 60, 40
+    ts = np.sort(rng.integers(0, 3 * p.unit_us, m))
+    ts[5:12] = ts[5]  # of one instant, in the order of their ids
+    f = {c: rng.normal(0, 1, m) for c in ("imb5", "slope", "o_mkt", "o_fear")}
+    seen = pa.table({"b_us": ts // p.unit_us * p.unit_us, "o_ts": ts, "o_prio": np.ones(m, int), "o_seq": np.arange(m),
+                     "o_price": 100 + rng.normal(0, 0.05, m), "share5": rng.random(m), "vol5": np.ones(m), "o_vol": np.ones(m), **f})
+    at = rng.integers(0, m, n)
+    d = rng.choice([-1, 1], n)
+    later = rng.random(n) < 0.3
+    pairs = pa.table({"symbol": ["X"] * n, "session": np.ones(n, int), "ts_us": ts[at], "seq": at, "pref": np.arange(n),
+                      "direction": d.astype(np.int32), "price": 100.0 + d * 0.01, "level_price": np.full(n, 100.0), "invalidation": 100 - d * 0.08,
+                      "in_open": rng.random(n) < 0.5, "best": pa.array(np.where(later, d * 100.02, 0), mask=~later),
+                      "b_us": (ts[at] // p.unit_us + later) * p.unit_us})
+    whole = resolve._meet(p)(pairs, seen)
+    monkeypatch.setattr(resolve, "PAIRS", 3)
+    assert resolve._meet(p)(pairs, seen).equals(whole)
+    assert len(set(whole.column("rule").to_pylist())) > 2
+    for r, x in zip(whole.to_pylist(), pairs.to_pylist(), strict=True):
+        best = max([x["price"] * x["direction"]] + ([x["best"]] if x["best"] is not None else []))
+        first = None
+        for o in seen.to_pylist():
+            if o["b_us"] == x["b_us"] and (o["o_ts"], o["o_seq"]) > (x["ts_us"], x["seq"]):
+                best = max(best, o["o_price"] * x["direction"])
+                if first is None and (o["o_price"] - x["invalidation"]) * x["direction"] < 0:
+                    first = o["o_ts"], o["o_price"]
+        assert r["best"] == best
+        if r["rule"] == 1:
+            assert (r["o_ts"], r["o_price"]) == first
+        elif first is not None:
+            assert r["rule"] and r["o_ts"] <= first[0]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from ..functions.durable import durable
 from ..operators import resolve
 from ..profile import Profile
 
@@ -50,7 +51,7 @@ def verdict_batch(
     ``pending`` has the candidate columns and ``decided`` and ``labelled``."""
     keys = list(resolve.CAND)
     waiting = pending.filter("not decided").select(*CAND)
-    verdicts = resolve.resolve(waiting, obs, bars, p).filter(F.col("resolution_us") <= clock)
+    verdicts = resolve.resolve(waiting, obs, bars, p, durable).filter(F.col("resolution_us") <= clock)
     unlabelled = pending.filter("not labelled").select(*CAND)
     labels = resolve.label_outcomes(unlabelled, bars, p).filter(F.col("ready") & (F.col("due_us") + p.unit_us <= clock))
     left = (
