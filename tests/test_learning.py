@@ -228,3 +228,17 @@ def test_profile_rules(spark):
     df = spark.createDataFrame([good, bad])
     got = quality.check_profiles(df).orderBy("prob_gate_min").collect()
     assert got[0].valid and got[1].problems == ["outcome_window_s", "prob_gate_min"]
+
+
+def test_outbox_has_every_alert_with_its_verdict(spark):
+    """One first message for each signal that was sent, trends among them, and one for each verdict."""
+    import __spark_entry__ as entry
+
+    sf_dir = "/root/testdata/sf0.001"
+    rows = entry.queries()["outbox"](spark, sf_dir).collect()
+    sent = [r for r in entry.queries()["signals"](spark, sf_dir).collect() if not r.suppressed]
+    kinds = [r.key.rsplit(":", 1)[1] for r in rows]
+    assert kinds.count("EARLY") == len(sent) and len(rows) - len(sent) == sum(r.resolution is not None for r in sent)
+    trends = {r.signal_id for r in sent if r.trigger_verb == "trend"}
+    told = {r.key.rsplit(":", 1)[0] for r in rows if "baseline | pressure sustained" in r.text}
+    assert trends and told == trends
